@@ -3,6 +3,7 @@
 import unicodedata
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..constants import INVALID_TEXTS, KNOWN_TYPES, STREET_ABBREVIATIONS, TITLE_SMALL_WORDS
 
@@ -50,7 +51,10 @@ def cache_key(text: Column) -> Column:
 
 
 def _capitalised(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 30)))
+    # One letter may capitalise to two ("ß"), of which only the first is a capital.
+    first = F.upper(F.substring(word, 1, 1))
+    tail = F.concat(F.substring(first, 2, 1 << 30), F.substring(word, 2, 1 << 30))
+    return F.concat(F.substring(first, 1, 1), F.lower(tail))
 
 
 def title_case(text: Column) -> Column:
@@ -153,7 +157,7 @@ def edit_similarity(left: Column, right: Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(left, right) / longest).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_similarity(left, right):
     """Longest-matching-block ratio, Arrow-batched; for already blocked candidates."""
     import difflib

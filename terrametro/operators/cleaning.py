@@ -1,5 +1,6 @@
 """Filters, imputation and preparation of listings."""
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
@@ -40,9 +41,14 @@ def _iqr_fences(df: DataFrame, column: str, factor: float) -> Column:
     ).scalar()
 
 
-def within_iqr_fences(df: DataFrame, column: str = K.TARGET, factor: float = K.IQR_FACTOR) -> DataFrame:
-    """Rows inside [Q1 - f*IQR, Q3 + f*IQR]; NULL drops out."""
-    fences = _iqr_fences(df, column, factor)
+def within_iqr_fences(
+    df: DataFrame, column: str = K.TARGET, factor: float = K.IQR_FACTOR, fitted_on: DataFrame | None = None
+) -> DataFrame:
+    """Rows inside [Q1 - f*IQR, Q3 + f*IQR]; NULL drops out.
+
+    `fitted_on` is a cheaper table with the same values to take the quartiles from.
+    """
+    fences = _iqr_fences(df if fitted_on is None else fitted_on, column, factor)
     return df.where(F.col(column).between(fences["low"], fences["high"]))
 
 
@@ -301,23 +307,31 @@ def coerce_types(df: DataFrame) -> DataFrame:
     )
 
 
-def prepare_training_set(raw: DataFrame, order) -> DataFrame:
+def staged(df: DataFrame) -> DataFrame:
+    """Default staging: computed once, kept on the executors' memory and disk; lost
+    blocks are recomputed."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def prepare_training_set(raw: DataFrame, order, stage=staged) -> DataFrame:
     """Raw enriched listings to the training table.
 
     Sales only, one row per URL, typed, engineered, imputed, without price outliers.
     Categories stay single columns; encoding into one sparse vector happens at
     training (`operators.features`).
+
+    The deduplicated rows feed quartiles, group means and the result, so they go
+    through `stage` once: the default persists them, a caller may write a table.
     """
     require_columns(raw, K.REQUIRED_NUMERIC + K.REQUIRED_CATEGORICAL)
     df = only_sales(raw)
     if K.URL in df.columns:
         df = keep_first(df, [K.URL], order)
-    df = add_engineered(coerce_types(df))
-    df = impute_constants(df)
-    df = impute_by_group_mean(df, ["Area_m2", "Latitude", "Longitude"], "Bairro")
+    base = stage(impute_constants(add_engineered(coerce_types(df))))
+    df = impute_by_group_mean(base, ["Area_m2", "Latitude", "Longitude"], "Bairro")
     df = df.withColumn("Area_m2", F.greatest("Area_m2", F.lit(1.0)))
-    df = positive_area_and_price(within_iqr_fences(df))
-    return select_training_columns(df)
+    # Imputation neither drops rows nor touches the price: fences come from the base.
+    return select_training_columns(positive_area_and_price(within_iqr_fences(df, fitted_on=base)))
 
 
 def load_training_rows(df: DataFrame, order) -> DataFrame:

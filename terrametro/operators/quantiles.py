@@ -1,109 +1,98 @@
 """Exact interpolated quantiles without gathering a group in one task.
 
 The built-in `percentile` keeps every distinct value of a group in one buffer, so
-one huge group (or no grouping at all) ends on one task. Here values are first
-counted (which also folds hot values), then the wanted ranks are narrowed down by
-equal-width histograms whose bounds tighten at each level; only the few values
-around a rank are ever ordered.
+one huge group (or no grouping at all) ends on one task. Here three narrow passes
+find the wanted ranks, and only the second and third shuffle, a few rows each:
+
+1. a mergeable sketch brackets every wanted rank;
+2. values are counted below, above and in equal-width slots inside the bracket,
+   which gives each slot's exact rank range;
+3. only values in the slot around a rank are counted one by one and ordered.
+
+The sketch decides how much work is left, never the result: a rank outside its
+bracket is found in the slot below or above it.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BINS = 4096
-LEVELS = 2
+ACCURACY = 10_000
+SLOTS = 4096
 
 
-def _null_safe(left: DataFrame, right: DataFrame, cols):
-    return [left[c].eqNullSafe(right[c]) for c in cols]
+def _beside(data: DataFrame, state: DataFrame, keys) -> DataFrame:
+    """Rows with their key's `_w`; without keys the state is one row, read as a scalar."""
+    if not keys:
+        return data.select("_v", state.select("_w").scalar().alias("_w"))
+    state = state.toDF(*[f"_k_{c}" if c in keys else c for c in state.columns])
+    on = [data[k].eqNullSafe(state[f"_k_{k}"]) for k in keys]
+    return data.join(state, on).select(*keys, "_v", "_w")
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], keys=(), bins: int = BINS, levels: int = LEVELS
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys=()) -> DataFrame:
     """One row per key with `n` and one column per named probability.
 
     Linear interpolation between the two neighbouring ranks. NULL and NaN values
-    are ignored; a key with no value at all does not appear.
+    are ignored; a key with no value at all does not appear. The input is read three
+    times, so stage it first when it is costly to recompute.
     """
     keys = list(keys)
+    wanted = sorted(set(probs.values()))
     number = F.col(value).cast("double")
-    counts = (
-        df.select(*keys, number.alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .withColumn("_one", F.lit(1))  # gives the un-keyed case an equi-join key
-        .groupBy("_one", *keys, "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    group = ["_one", *keys]
-    span = counts.groupBy(*group).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    data = df.select(*keys, number.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+
+    slack = 2 / ACCURACY
+    grid = F.array(*[F.lit(b) for p in wanted for b in (max(p - slack, 0.0), min(p + slack, 1.0))])
+    sketch = data.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", grid, ACCURACY).alias("_q")
     )
-    wanted = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(f((F.col("_n") - 1) * F.lit(p)).cast("bigint"))
-                    for p in sorted(set(probs.values()))
-                    for f in (F.floor, F.ceil)
-                ]
+    targets = F.array(
+        *[
+            F.expr(
+                f"named_struct('i', {i}, 'n', _n, 'lo', _q[{2 * i}], 'hi', _q[{2 * i + 1}],"
+                f" 'r0', CAST(floor((_n - 1) * {p!r}D) AS BIGINT), 'r1', CAST(ceil((_n - 1) * {p!r}D) AS BIGINT))"
             )
-        )
+            for i, p in enumerate(wanted)
+        ]
+    )
+    bracketed = _beside(data, sketch.where("_n > 0").select(*keys, targets.alias("_w")), keys)
+
+    rank = ["i", "n", "r0", "r1"]
+    slot = F.expr(
+        f"CASE WHEN _v < lo THEN -1 WHEN _v > hi THEN {SLOTS} WHEN hi > lo THEN"
+        f" CAST(least(floor((_v - lo) / (hi - lo) * {SLOTS}), {SLOTS - 1}) AS INT) ELSE 0 END"
+    )
+    slots = (
+        bracketed.select(*keys, "_v", F.inline("_w"))
+        .groupBy(*keys, *rank, slot.alias("_slot"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("a"), F.max("_v").alias("b"))
     )
-    targets = span.withColumn("_rank", F.explode(wanted)).withColumn("_left", F.col("_rank"))
-
-    def narrowed(targets, slot):
-        """Replace each target's bounds by those of the slot that holds its rank."""
-        slots = targets.select(*group, "_lo", "_hi").distinct()
-        # At most two bounds per probability: bounded only when there are no keys.
-        slots = F.broadcast(slots) if not keys else slots
-        slots = slots.toDF(*[f"s_{c}" for c in slots.columns])
-        inside = counts.join(
-            slots,
-            [counts[c].eqNullSafe(slots[f"s_{c}"]) for c in group]
-            + [counts["_v"].between(slots["s__lo"], slots["s__hi"])],
-        )
-        hist = (
-            inside.withColumn("s_slot", slot)
-            .groupBy(*[f"s_{c}" for c in group], "s__lo", "s__hi", "s_slot")
-            .agg(F.sum("_c").alias("h_c"), F.min("_v").alias("h_lo"), F.max("_v").alias("h_hi"))
-        )
-        upto = Window.partitionBy(*[f"s_{c}" for c in group], "s__lo", "s__hi").orderBy("s_slot")
-        hist = hist.withColumn(
-            "h_upto", F.sum("h_c").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-        )
-        bounds = [*group, "_lo", "_hi"]
-        return targets.join(
-            hist,
-            [targets[c].eqNullSafe(hist[f"s_{c}"]) for c in bounds]
-            + [targets["_left"] < hist["h_upto"], targets["_left"] >= hist["h_upto"] - hist["h_c"]],
-        ).select(
-            *group,
-            "_n",
-            "_rank",
-            (F.col("_left") - F.col("h_upto") + F.col("h_c")).alias("_left"),
-            F.col("h_lo").alias("_lo"),
-            F.col("h_hi").alias("_hi"),
-        )
-
-    width = F.col("s__hi") - F.col("s__lo")
-    bin_of = F.coalesce(
-        F.least(F.floor((F.col("_v") - F.col("s__lo")) / F.when(width > 0, width) * bins), F.lit(bins - 1)),
-        F.lit(0),
-    ).cast("double")
-    for _ in range(levels):
-        targets = narrowed(targets, bin_of)
-    targets = narrowed(targets, F.col("_v"))  # what is left is ordered by value
-
-    at_rank = targets.groupBy(*group, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_lo"))).alias("_at"))
-
-    def quantile(p):
-        place = (F.col("_n") - 1) * F.lit(p)
-        low, high = F.floor(place).cast("bigint"), F.ceil(place).cast("bigint")
-        low_v, high_v = F.col("_at")[low], F.col("_at")[high]
-        return low_v + (high_v - low_v) * (place - low)
-
-    return at_rank.select(
-        *keys, F.col("_n").alias("n"), *[quantile(p).alias(name) for name, p in probs.items()]
+    below = F.sum("_c").over(
+        Window.partitionBy(*keys, "i").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    around = slots.withColumn("upto", below).where("upto > r0 AND upto - _c <= r1")
+    # One or two slots per probability.
+    chosen = around.groupBy(*keys).agg(
+        F.collect_list(F.struct(*rank, (F.col("upto") - F.col("_c")).alias("before"), "a", "b")).alias("_w")
+    )
+    inside = _beside(data, chosen, keys).select(*keys, "_v", F.inline(F.expr("filter(_w, s -> _v BETWEEN s.a AND s.b)")))
+
+    counted = inside.groupBy(*keys, *rank, "before", "_v").agg(F.count("*").alias("_c"))
+    running = F.col("before") + F.sum("_c").over(
+        Window.partitionBy(*keys, "i", "before").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    placed = counted.withColumn("upto", running).where("upto > r0 AND upto - _c <= r1")
+
+    def at(i: int, r: str) -> Column:
+        return F.max(F.expr(f"CASE WHEN i = {i} AND upto > {r} AND upto - _c <= {r} THEN _v END"))
+
+    def quantile(p: float) -> Column:
+        i = wanted.index(p)
+        low, high = at(i, "r0"), at(i, "r1")
+        part = F.max(F.expr(f"CASE WHEN i = {i} THEN (n - 1) * {p!r}D - r0 END"))
+        return low + (high - low) * part
+
+    return placed.groupBy(*keys).agg(
+        F.max("n").alias("n"), *[quantile(p).alias(name) for name, p in probs.items()]
     )
 
 

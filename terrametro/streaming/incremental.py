@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import keep_last
-from ..sources.sinks import upsert
+
+BATCH = "lote"
 
 
 def read_arrivals(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,51 +21,37 @@ def dedup_arrivals(stream: DataFrame, key: str, event_time: str, horizon: str =
     return stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def _path_of(table_dir: str, version: int) -> str:
-    return f"{table_dir}/v={version}"
-
-
-def _stored_versions(spark: SparkSession, table_dir: str) -> list[int]:
-    """Complete versions of the stored table (a version counts once its _SUCCESS
-    marker is written)."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(table_dir)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in names if fs.exists(hadoop.Path(p, "_SUCCESS")))
-
-
-def read_stored(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    versions = _stored_versions(spark, table_dir)
-    return spark.read.parquet(_path_of(table_dir, versions[-1])) if versions else None
+def new_arrivals_only(stream: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Arrivals whose key the stored table lacks (stream to static anti join)."""
+    return stream.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def upsert_arrivals(stream: DataFrame, table_dir: str, checkpoint: str, key: str, order, available_now: bool = True) -> StreamingQuery:
-    """Every micro-batch is merged into the stored table by key, arrivals winning.
+def upsert_arrivals(stream: DataFrame, table: str, checkpoint: str, key: str, order, available_now: bool = True) -> StreamingQuery:
+    """Every micro-batch is merged by key into a stored table, arrivals winning.
 
-    Batch n writes version n from the last version below n, so a batch repeated after
-    a failure gives the same table; the checkpoint resumes where a run stopped.
+    A batch writes only itself, deduplicated, into its own directory, so its cost does
+    not grow with the table, and a batch repeated after a failure overwrites its own
+    directory. `read_merged` resolves the keys; `compact` folds the directories.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in _stored_versions(spark, table_dir) if v < batch_id]
-        if older:
-            stored = spark.read.parquet(_path_of(table_dir, older[-1]))
-            merged = upsert(stored, batch, key, order)
-        else:
-            merged = keep_last(batch, [key], order)
-        merged.write.mode("overwrite").parquet(_path_of(table_dir, batch_id))
-
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keep_last(batch, [key], order).write.mode("overwrite").parquet(f"{table}/{BATCH}={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
-def new_arrivals_only(stream: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Arrivals whose key the stored table lacks (stream to static anti join)."""
-    return stream.join(stored.select(key).distinct(), key, "left_anti")
+def read_merged(spark: SparkSession, table: str, key: str) -> DataFrame:
+    """The table as it stands: the latest batch's row of every key."""
+    return keep_last(spark.read.parquet(table), [key], [BATCH]).drop(BATCH)
+
 
+def compact(spark: SparkSession, table: str, target: str, key: str) -> None:
+    """The merged rows as one directory of a fresh table, in place of all batches."""
+    if table == target:
+        raise ValueError("compact into a fresh path")
+    rows = spark.read.parquet(table)
+    latest = rows.agg({BATCH: "max"}).first()[0]
+    read_merged(spark, table, key).write.mode("overwrite").parquet(f"{target}/{BATCH}={latest}")
