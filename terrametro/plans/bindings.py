@@ -96,15 +96,16 @@ def pois(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Sectors: a 5 x 5 chessboard of nations over the city square. Even ones are squares,
-# odd ones the lower-left triangle of their square.
+# odd ones the lower-left triangle of their square. The origin lies off the listings'
+# micro-degree lattice, so no listing sits on an edge up to rounding.
 SECTOR_SIDE = "CAST(0.02 AS DOUBLE)"
 _SECTOR = {
     "CD_SETOR": "CAST(n_nationkey AS STRING)",
     "CD_MUN": "CASE WHEN n_nationkey % 6 = 5 THEN '1100000' ELSE '2211001' END",
     "NM_BAIRRO": "n_name",
     "AREA_KM2": "CAST(n_nationkey % 4 AS DOUBLE)",
-    "sx": "CAST(-42.85 AS DOUBLE) + CAST(n_nationkey % 5 AS DOUBLE) * " + SECTOR_SIDE,
-    "sy": "CAST(-5.14 AS DOUBLE) + CAST((n_nationkey - n_nationkey % 5) / 5 AS INT) * " + SECTOR_SIDE,
+    "sx": "CAST(-42.8500003 AS DOUBLE) + CAST(n_nationkey % 5 AS DOUBLE) * " + SECTOR_SIDE,
+    "sy": "CAST(-5.1400004 AS DOUBLE) + CAST((n_nationkey - n_nationkey % 5) / 5 AS INT) * " + SECTOR_SIDE,
     "triangular": "n_nationkey % 2 = 1",
 }
 SECTORS_SQL = f"SELECT {_select(_SECTOR)}, {SECTOR_SIDE} AS side FROM nation".replace("STRING", "VARCHAR")
