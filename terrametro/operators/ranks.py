@@ -24,7 +24,7 @@ def value_positions(df: DataFrame, column: str, ranges: int = RANGES) -> DataFra
     )
     cuts = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
     splits = counts.agg(F.array_distinct(F.percentile_approx("_v", cuts, 10 * ranges)).alias("s")).scalar()
-    ranged = counts.withColumn("_range", _range_of(F.col("_v"), splits))
+    ranged = counts.select("*", splits.alias("_s")).select("_v", "_c", _range_of(F.col("_v"), F.col("_s")).alias("_range"))
     totals = ranged.groupBy("_range").agg(F.sum("_c").alias("_t"))
     # At most `ranges` rows, whatever the data: safe to order in one task and to broadcast.
     offsets = totals.select(

@@ -175,11 +175,11 @@ def _(spark, sf):
 def _baseline_sql(head, source):
     fit = f"count(*) AS n, {r('avg(abs(y - p))', 'mae')}, {r('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {r('1 - avg((y - p) * (y - p)) / var_pop(y)', 'r2')}, " \
           f"{r('avg(CASE WHEN abs(p - y) / y <= 0.2 THEN 1.0 ELSE 0.0 END)', 'dentro_20pct')}, {r('quantile_cont(abs(p - y) / y, 0.5)', 'mdape')}"
-    return f"""{head} s AS (SELECT Valor_Anuncio AS y, Area_m2, Bairro, Valor_Anuncio / nullif(Area_m2, 0) AS m2 FROM {source}),
-    g AS (SELECT quantile_cont(y, 0.5) AS m, quantile_cont(m2, 0.5) AS m2 FROM s), b AS (SELECT Bairro AS k, quantile_cont(m2, 0.5) AS bm FROM s GROUP BY 1),
-    t AS (SELECT 'mediana global' AS regra, y, g.m AS p FROM s, g UNION ALL SELECT 'area x m2 global', y, Area_m2 * g.m2 FROM s, g
-      UNION ALL SELECT 'area x m2 do bairro', y, Area_m2 * coalesce(bm, g.m2) FROM s LEFT JOIN b ON s.Bairro IS NOT DISTINCT FROM b.k, g)
-    SELECT regra, {fit} FROM t WHERE p IS NOT NULL GROUP BY regra"""
+    return f"""{head} vs AS (SELECT Valor_Anuncio AS y, Area_m2, Bairro, Valor_Anuncio / nullif(Area_m2, 0) AS m2 FROM {source}),
+    vg AS (SELECT quantile_cont(y, 0.5) AS m, quantile_cont(m2, 0.5) AS m2 FROM vs), vb AS (SELECT Bairro AS k, quantile_cont(m2, 0.5) AS bm FROM vs GROUP BY 1),
+    vt AS (SELECT 'mediana global' AS regra, y, vg.m AS p FROM vs, vg UNION ALL SELECT 'area x m2 global', y, Area_m2 * vg.m2 FROM vs, vg
+      UNION ALL SELECT 'area x m2 do bairro', y, Area_m2 * coalesce(bm, vg.m2) FROM vs LEFT JOIN vb ON vs.Bairro IS NOT DISTINCT FROM vb.k, vg)
+    SELECT regra, {fit} FROM vt WHERE p IS NOT NULL GROUP BY regra"""
 
 
 @query("heuristic_baselines", "A17", _baseline_sql(f"WITH u AS ({UNIQUE_SQL}),", "u"))
