@@ -1,6 +1,5 @@
 """Filters, imputation and preparation of listings."""
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
@@ -13,6 +12,7 @@ from ..functions.numbers import (
 )
 from ..functions.text import category_text, title_case
 from ..sources.readers import require_columns
+from ..sources.staging import staged
 from .dedup import keep_first
 from .quantiles import exact_median, exact_quantiles
 
@@ -307,12 +307,6 @@ def coerce_types(df: DataFrame) -> DataFrame:
     )
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Default staging: computed once, kept on the executors' memory and disk; lost
-    blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def prepare_training_set(raw: DataFrame, order, stage=staged) -> DataFrame:
     """Raw enriched listings to the training table.
 
@@ -321,7 +315,7 @@ def prepare_training_set(raw: DataFrame, order, stage=staged) -> DataFrame:
     training (`operators.features`).
 
     The deduplicated rows feed quartiles, group means and the result, so they go
-    through `stage` once: the default persists them, a caller may write a table.
+    through `stage` once: the default writes them to the shared folder.
     """
     require_columns(raw, K.REQUIRED_NUMERIC + K.REQUIRED_CATEGORICAL)
     df = only_sales(raw)

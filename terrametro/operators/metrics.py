@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.numbers import null_if_zero, relative_error
+from ..sources.staging import staged
 from .quantiles import exact_quantiles
 from .ranks import with_average_rank
 
@@ -321,7 +322,8 @@ def within_group_rank_correlation(df: DataFrame, value: str, group: str, feature
     groups with enough rows."""
     means = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.avg(value).alias("_mean"), F.count(value).alias("_n"))
     means = means.where(F.col("_n") >= minimum).select(F.col(group).alias("_g"), "_mean")
-    rows = df.join(means, df[group] == means["_g"]).withColumn("_res", F.col(value) - F.col("_mean"))
+    residual = (F.col(value) - F.col("_mean")).alias("_res")
+    rows = staged(df.join(means, df[group] == means["_g"]).select(residual, *features), "residuals")
     out = None
     for f in features:  # plan-time list of columns
         one = rows.select("_res", F.col(f).cast("double").alias("_f")).dropna()

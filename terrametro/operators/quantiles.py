@@ -15,14 +15,22 @@ bracket is found in the slot below or above it.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.staging import as_local_row, staged
+
 ACCURACY = 10_000
 SLOTS = 4096
 
 
 def _beside(data: DataFrame, state: DataFrame, keys) -> DataFrame:
-    """Rows with their key's `_w`; without keys the state is one row, read as a scalar."""
+    """Rows with their key's `_w`; without keys the state is one row, read as a scalar.
+
+    The state is computed here: kept as a constant row, or staged as a table of one
+    row per key, so that the plan of the next pass does not contain this one again.
+    """
     if not keys:
+        state = as_local_row(state)
         return data.select("_v", state.select("_w").scalar().alias("_w"))
+    state = staged(state, "quantiles")
     state = state.toDF(*[f"_k_{c}" if c in keys else c for c in state.columns])
     on = [data[k].eqNullSafe(state[f"_k_{k}"]) for k in keys]
     return data.join(state, on).select(*keys, "_v", "_w")
@@ -33,7 +41,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys=())
 
     Linear interpolation between the two neighbouring ranks. NULL and NaN values
     are ignored; a key with no value at all does not appear. The input is read three
-    times, so stage it first when it is costly to recompute.
+    times, the first two when this is called, so stage it first when it is costly to
+    recompute.
     """
     keys = list(keys)
     wanted = sorted(set(probs.values()))

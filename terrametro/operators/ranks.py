@@ -6,6 +6,8 @@ totals give each range its offset and only the inside of a range is ordered.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.staging import staged
+
 RANGES = 1024
 
 
@@ -23,8 +25,9 @@ def value_positions(df: DataFrame, column: str, ranges: int = RANGES) -> DataFra
         .agg(F.count("*").alias("_c"))
     )
     cuts = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
-    splits = counts.agg(F.array_distinct(F.percentile_approx("_v", cuts, 10 * ranges)).alias("s")).scalar()
-    ranged = counts.select("*", splits.alias("_s")).select("_v", "_c", _range_of(F.col("_v"), F.col("_s")).alias("_range"))
+    counts = staged(counts, "ranks")  # read for the cuts, the range totals and the ranks
+    splits = counts.agg(F.array_distinct(F.percentile_approx("_v", cuts, 10 * ranges)).alias("s")).first()["s"]
+    ranged = counts.withColumn("_range", _range_of(F.col("_v"), F.lit(splits or [0.0])))
     totals = ranged.groupBy("_range").agg(F.sum("_c").alias("_t"))
     # At most `ranges` rows, whatever the data: safe to order in one task and to broadcast.
     offsets = totals.select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ... import constants as K
 from ...operators import features as X, scoring as P
-from ...operators.cleaning import staged
+from ...sources.staging import staged
 from ..bindings import LISTINGS_BARE_SQL, LISTINGS_SQL, UNIQUE_SQL, listings, table
 from ..registry import query, r, rounded
 from .cleaning import REQUESTS_SQL, requests

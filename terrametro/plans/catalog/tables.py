@@ -1,23 +1,15 @@
 """Sources, schema contracts, sinks, set operations and small sorts."""
 
-import os
-import tempfile
-
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from ... import constants as K
 from ...operators import dedup as D
 from ...sources import readers as R, sinks as W
+from ...sources.staging import scratch_path
 from ..bindings import LISTINGS_BARE_SQL, LISTINGS_SQL, POIS_SQL, listings, pois, table
 from ..registry import query
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder below the session's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "terrametro")
-    return f"{root}/{name}-{os.urandom(6).hex()}"
-
-
 @query("align_listing_schema", "S6 S5",
        f"""SELECT '' AS ID_Imovel, Tipo_Negocio, '' AS Tipo_Imovel, Area_m2, Quartos, Banheiros, Vagas_Garagem, Valor_Anuncio, '' AS Bairro,
        '' AS CEP, URL_Anuncio, '' AS Data_Coleta, '' AS Descricao, 'Desconhecida' AS Fonte, '' AS Endereco_Completo, '' AS Endereco_Geocode
@@ -76,7 +68,7 @@ def _(spark, sf):
 @query("csv_round_trip", "S1 S8",
        f"SELECT URL_Anuncio, Valor_Anuncio, Quartos, Descricao FROM (SELECT *, concat('linha 1', chr(10), '\"aspas\", ', peca) AS Descricao FROM ({LISTINGS_BARE_SQL}))")
 def _(spark, sf):
-    path = scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     columns = [K.URL, K.TARGET, "Quartos", "Descricao"]
     text = F.concat(F.lit('linha 1\n"aspas", '), F.col("peca"))
     rows = listings(spark, sf, False).withColumn("Descricao", text).select(*columns)
@@ -86,7 +78,7 @@ def _(spark, sf):
 
 @query("census_csv_round_trip", "S2", "SELECT CAST(n_nationkey AS VARCHAR) AS CD_SETOR, concat('São ', n_name) AS NM FROM nation")
 def _(spark, sf):
-    path = scratch(spark, "census")
+    path = scratch_path(spark, "census")
     rows = table(spark, sf, "nation").selectExpr("CAST(n_nationkey AS STRING) AS CD_SETOR", "concat('São ', n_name) AS NM", "'x' AS outra")
     rows.write.options(header=True, sep=";", encoding="ISO-8859-1").mode("overwrite").csv(path)
     return R.read_census(spark, path, ["CD_SETOR", "NM"])
@@ -94,7 +86,7 @@ def _(spark, sf):
 
 @query("append_and_overwrite", "S8", "SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM supplier UNION ALL SELECT * FROM supplier) GROUP BY 1")
 def _(spark, sf):
-    path = scratch(spark, "sink")
+    path = scratch_path(spark, "sink")
     rows = table(spark, sf, "supplier").select("s_suppkey")
     W.save_listings(rows, path, append=False)
     W.save_listings(rows, path, append=True)
@@ -103,20 +95,12 @@ def _(spark, sf):
 
 @query("latest_poi_snapshot", "S3", f"SELECT categoria, lat, lon, nome FROM ({POIS_SQL})")
 def _(spark, sf):
-    # Two dated snapshots, each one JSON array; the older one holds half of the points.
-    path = scratch(spark, "pois")
+    # Two dated snapshots written in parts; the older one holds some of the points.
+    path = scratch_path(spark, "pois")
     points = pois(spark, sf)
-    item = F.to_json(F.struct("categoria", "lat", "lon", "nome"))
     for day, part in (("20240101", points.where("length(categoria) > 7")), ("20240301", points)):
-        lines = part.select(F.concat(item, F.lit("")).alias("value"))
-        lines.write.mode("overwrite").text(f"{path}/pois_{day}")
-    # One JSON object per line reads the same as an array; files are told apart by name.
-    named = (
-        spark.read.schema(R.POI_SNAPSHOT).json(f"{path}/pois_*")
-        .withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"pois_(\d+)", 1))
-    )
-    latest = named.agg(F.max("_file").alias("m")).scalar()
-    return named.where(F.col("_file") == latest).drop("_file")
+        part.write.mode("overwrite").json(f"{path}/pois_{day}")
+    return R.read_latest_snapshot(spark, f"{path}/pois_*", name=r"pois_\d+", array_files=False)
 
 
 _TAGGED = """CASE s_suppkey % 5 WHEN 0 THEN map('shop','mall','name',s_name) WHEN 1 THEN map('amenity','pharmacy','shop','supermarket')
@@ -140,14 +124,14 @@ def _(spark, sf):
 
 @query("segmented_dataset", "S11", f"SELECT URL_Anuncio, Valor_Anuncio, Tipo_Imovel FROM ({LISTINGS_SQL}) WHERE Tipo_Imovel = 'Casa'")
 def _(spark, sf):
-    path = scratch(spark, "segments")
+    path = scratch_path(spark, "segments")
     W.write_segments(listings(spark, sf).select(K.URL, K.TARGET, "Tipo_Imovel"), path, "Tipo_Imovel")
     return R.null_nans(W.read_segment(spark, path, "Tipo_Imovel", "Casa"))
 
 
 @query("list_segments", "S11", f"SELECT DISTINCT Tipo_Imovel FROM ({LISTINGS_SQL})")
 def _(spark, sf):
-    path = scratch(spark, "segments")
+    path = scratch_path(spark, "segments")
     W.write_segments(listings(spark, sf).select(K.URL, "Tipo_Imovel"), path, "Tipo_Imovel")
     return W.list_segments(spark, path, "Tipo_Imovel")
 
@@ -157,5 +141,3 @@ def _(spark, sf):
     q = F.when(F.col("l_partkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
     return R.null_nans(table(spark, sf, "lineitem").select("l_orderkey", q.alias("q")))
 
-
-_ = T

@@ -50,16 +50,23 @@ def read_census(spark: SparkSession, path: str, columns) -> DataFrame:
     )
 
 
-def read_latest_snapshot(spark: SparkSession, path: str, schema: str = POI_SNAPSHOT) -> DataFrame:
-    """JSON-array snapshots named by date: rows of the lexicographically last file."""
+def read_latest_snapshot(
+    spark: SparkSession, path: str, schema: str = POI_SNAPSHOT, name: str = r"[^/]+$", array_files: bool = True
+) -> DataFrame:
+    """Rows of the snapshot whose name is lexicographically last.
+
+    The dated name is what the pattern finds in the file's path: the file name, or a
+    dated folder for snapshots written in parts. `array_files`: each file is one JSON
+    array (read whole); otherwise one object per line, which large files should use.
+    """
     rows = (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", array_files)
         .json(path)
-        .withColumn("_file", F.col("_metadata.file_name"))
+        .withColumn("_name", F.regexp_extract(F.col("_metadata.file_path"), name, 0))
     )
-    latest = rows.agg(F.max("_file").alias("_latest")).scalar()
-    return rows.where(F.col("_file") == latest).drop("_file")
+    latest = rows.agg(F.max("_name").alias("_latest")).scalar()
+    return rows.where(F.col("_name") == latest).drop("_name")
 
 
 def tag_pois(elements: DataFrame) -> DataFrame:
