@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def strict_double(text: Column) -> Column:
@@ -10,8 +10,9 @@ def strict_double(text: Column) -> Column:
 
     The pattern keeps out spellings only the JVM accepts ("5d", "0x1p3") and NaN.
     """
-    text = text.cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    # Without a match the extracted text is empty, which does not cast either; the
+    # input is evaluated once.
+    return F.regexp_extract(F.trim(text.cast("string")), _NUMBER, 0).try_cast("double")
 
 
 def whole_from_digits(text: Column) -> Column:

@@ -246,79 +246,102 @@ def property_attribute(ad: Column, names) -> Column:
     return _get(F.try_element_at(hits, F.lit(1)), "$.value")
 
 
-def _rooms(ad: Column, names) -> Column:
-    found = []
-    for n in names:
-        value = _first(_get(ad, f"$.{n}"), _get(ad, f"$.realEstate.{n}"), _get(ad, f"$.real_estate_data.{n}"))
-        found.append(truncated(_number(value)))
-    found.append(truncated(_number(_present(property_attribute(ad, names)))))
-    return F.coalesce(*found, F.lit(0))
-
-
-def _area(ad: Column) -> Column:
-    paths = ["usableAreas", "usableArea", "realEstate.usableArea", "real_estate_data.usable_area", "size"]
-    area = _first(*[_get(ad, f"$.{p}") for p in paths])
-    area = F.when(_kind(area).startswith("ARRAY"), _get(area, "$[0]")).otherwise(area)
-    listed = property_attribute(ad, ["usable_area", "usableAreas", "usableArea", "size", "building_size"])
-    return _number(F.coalesce(_present(area), _present(listed)))
-
-
-def _price(ad: Column) -> Column:
-    price = _first(_get(ad, "$.price"), _get(ad, "$.priceValue"), _get(ad, "$.pricing.price"))
-    inner = F.coalesce(_first(_get(price, "$.value"), _get(price, "$.amount")), _present(_get(price, "$.label")))
-    return _number(F.when(_kind(price).startswith("OBJECT"), inner).otherwise(price))
-
-
 def _is_object(node: Column) -> Column:
     return F.coalesce(_kind(node).startswith("OBJECT"), F.lit(False))
 
 
+ROOM_NAMES = {
+    "Quartos": ["bedrooms", "rooms", "bedroom"],
+    "Banheiros": ["bathrooms", "bathroom"],
+    "Vagas_Garagem": ["parkingSpaces", "garages", "garage"],
+}
+AREA_PATHS = ["usableAreas", "usableArea", "realEstate.usableArea", "real_estate_data.usable_area", "size"]
+AREA_NAMES = ["usable_area", "usableAreas", "usableArea", "size", "building_size"]
+
+
 def ads_to_listings(ads: DataFrame, source: str = K.DEFAULT_SOURCE, search_url: str = "") -> DataFrame:
     """Ad objects to raw listings with price and area; every field tries its aliases
-    in order."""
-    rows = ads.withColumn("_ad", F.try_parse_json("ad"))
-    ad = F.col("_ad")
+    in order.
+
+    Values used several times get a column of their own, a step at a time: written as
+    one expression the aliases would multiply.
+    """
+    keep = [c for c in ads.columns if c != "ad"]
+    ad, col = F.col("_ad"), F.col
+
+    def first(*paths):
+        return _first(*[_get(ad, f"$.{p}") for p in paths])
+
+    nodes = {
+        "_loc": first("location", "address"),
+        "_det": first("locationDetails", "realEstate.address"),
+        "_business": first("business", "category.business"),
+        "_label": first("category.label", "category.name"),
+        "_kind": first("properties.property_type", "type"),
+        "_link": first("url", "permalink", "adLink"),
+        "_slug": first("friendly_url", "slug"),
+        "_id": first("listId", "id", "ad_id"),
+        "_about": first("description", "body"),
+        "_price": first("price", "priceValue", "pricing.price"),
+        "_area": first(*AREA_PATHS),
+        "_listed_area": _present(property_attribute(ad, AREA_NAMES)),
+    }
+    for name, aliases in ROOM_NAMES.items():
+        for i, n in enumerate(aliases):
+            nodes[f"_{name}{i}"] = first(n, f"realEstate.{n}", f"real_estate_data.{n}")
+        nodes[f"_{name}{len(aliases)}"] = _present(property_attribute(ad, aliases))
+    rows = ads.withColumn("_ad", F.try_parse_json("ad")).select(*keep, "_ad", *[e.alias(n) for n, e in nodes.items()])
+
+    price, area, business, loc, det = col("_price"), col("_area"), col("_business"), col("_loc"), col("_det")
+    inner = F.coalesce(_first(_get(price, "$.value"), _get(price, "$.amount")), _present(_get(price, "$.label")))
+    element_or_area = F.when(_kind(area).startswith("ARRAY"), _get(area, "$[0]")).otherwise(area)
     rows = rows.withColumns(
         {
-            "_loc": _first(_get(ad, "$.location"), _get(ad, "$.address")),
-            "_det": _first(_get(ad, "$.locationDetails"), _get(ad, "$.realEstate.address")),
+            "_price": F.when(_is_object(price), inner).otherwise(price),
+            "_area": F.coalesce(_present(element_or_area), col("_listed_area")),
+            "_business": F.when(_is_object(business), _first(_get(business, "$.label"), _get(business, "$.name"))).otherwise(business),
+            "_loc": F.when(_is_object(loc), loc),
+            "_det": F.when(_is_object(det), det),
+            "_parts": F.when(
+                _kind(loc) == "STRING",
+                F.filter(F.transform(F.split(_text(loc), ","), lambda p: F.trim(p)), lambda p: p != ""),
+            ),
         }
     )
-    loc, det = F.col("_loc"), F.col("_det")
-    parts = F.filter(F.transform(F.split(_text(loc), ","), lambda p: F.trim(p)), lambda p: p != "")
-    plain = (_kind(loc) == "STRING") & (F.size(parts) >= 2)
 
     def place(path, part=None):
-        base = _get(F.when(_is_object(loc), loc), f"$.{path}")
-        text = F.coalesce(_text(_get(F.when(_is_object(det), det), f"$.{path}")), _text(base))
+        text = F.coalesce(_text(_get(det, f"$.{path}")), _text(_get(loc, f"$.{path}")))
         if part:
-            text = F.coalesce(text, F.when(plain, F.try_element_at(parts, F.lit(part))))
-        return F.when(text != "", text)
+            text = F.coalesce(text, F.when(F.size("_parts") >= 2, F.try_element_at("_parts", F.lit(part))))
+        return F.nullif(text, F.lit(""))
+
+    rows = rows.withColumns(
+        {
+            "_bairro": F.coalesce(place("neighbourhood", 2), place("suburb"), place("addressComponents.neighbourhood")),
+            "_city": place("city", 1),
+            "_post": F.coalesce(place("zip_code"), place("postal_code"), place("addressComponents.zipCode")),
+        }
+    )
+
+    def rooms(name):
+        found = [truncated(_number(col(f"_{name}{i}"))) for i in range(len(ROOM_NAMES[name]) + 1)]
+        return F.coalesce(*found, F.lit(0)).alias(name)
+
+    def text_of(node):
+        return F.when(_truthy(node), _text(node))
 
-    area_name = F.coalesce(place("neighbourhood", 2), place("suburb"), place("addressComponents.neighbourhood"))
-    post = F.coalesce(place("zip_code"), place("postal_code"), place("addressComponents.zipCode"))
-    business = _first(_get(ad, "$.business"), _get(ad, "$.category.business"))
-    business_text = F.when(_is_object(business), _text(_first(_get(business, "$.label"), _get(business, "$.name")))).otherwise(_text(business))
-    kind = _first(_get(ad, "$.category.label"), _get(ad, "$.category.name"))
-    kind = F.when(_truthy(kind), kind).otherwise(_first(_get(ad, "$.properties.property_type"), _get(ad, "$.type")))
-    link = _first(_get(ad, "$.url"), _get(ad, "$.permalink"), _get(ad, "$.adLink"))
-    slug = _first(_get(ad, "$.friendly_url"), _get(ad, "$.slug"))
-    fallback = F.when(_truthy(slug), F.concat(F.lit(search_url), _text(slug)))
-    keep = [c for c in ads.columns if c != "ad"]
     out = rows.select(
         *keep,
-        _text(_first(_get(ad, "$.listId"), _get(ad, "$.id"), _get(ad, "$.ad_id"))).alias("ID_Imovel"),
-        deal_label(F.when(_truthy(business), business_text)).alias("Tipo_Negocio"),
-        F.coalesce(F.when(_truthy(kind), _text(kind)), F.lit("Imóvel")).alias("Tipo_Imovel"),
-        _area(ad).alias("Area_m2"),
-        _rooms(ad, ["bedrooms", "rooms", "bedroom"]).alias("Quartos"),
-        _rooms(ad, ["bathrooms", "bathroom"]).alias("Banheiros"),
-        _rooms(ad, ["parkingSpaces", "garages", "garage"]).alias("Vagas_Garagem"),
-        _price(ad).alias("Valor_Anuncio"),
-        F.coalesce(F.trim(area_name), place("city", 1), F.lit("")).alias("Bairro"),
-        postcode(post, keep_raw=True).alias("CEP"),
-        F.coalesce(F.when(_truthy(link), _text(link)), fallback).alias("URL_Anuncio"),
-        F.coalesce(F.trim(_text(_first(_get(ad, "$.description"), _get(ad, "$.body")))), F.lit("")).alias("Descricao"),
+        _text(col("_id")).alias("ID_Imovel"),
+        deal_label(text_of(business)).alias("Tipo_Negocio"),
+        F.coalesce(text_of(col("_label")), text_of(col("_kind")), F.lit("Imóvel")).alias("Tipo_Imovel"),
+        _number(area).alias("Area_m2"),
+        *[rooms(name) for name in ROOM_NAMES],
+        _number(price).alias("Valor_Anuncio"),
+        F.coalesce(F.trim("_bairro"), col("_city"), F.lit("")).alias("Bairro"),
+        postcode(col("_post"), keep_raw=True).alias("CEP"),
+        F.coalesce(text_of(col("_link")), F.concat(F.lit(search_url), text_of(col("_slug")))).alias("URL_Anuncio"),
+        F.coalesce(F.trim(_text(col("_about"))), F.lit("")).alias("Descricao"),
         F.lit(source).alias("Fonte"),
     )
     return out.where(truthy_number(F.col("Valor_Anuncio")) & truthy_number(F.col("Area_m2")))
@@ -464,10 +487,17 @@ def fields_from_features(texts: Column) -> dict[str, Column]:
 
     kinds = {"Quartos": ("quarto", "dormit"), "Banheiros": ("banheiro",), "Vagas_Garagem": ("garagem", "vaga")}
     out, left = {}, texts
+
+    def taker(words):
+        return lambda t: fits(t, words) & whole(t).isNotNull()
+
+    def leaver(taken):
+        return lambda t: ~taken(t)
+
     for name, words in kinds.items():
-        taken = lambda t, words=words: fits(t, words) & whole(t).isNotNull()
+        taken = taker(words)
         out[name] = whole(F.try_element_at(F.filter(left, taken), F.lit(-1)))
-        left = F.filter(left, lambda t, taken=taken: ~taken(t))
+        left = F.filter(left, leaver(taken))
     sized = F.filter(left, lambda t: fits(t, ("área", "area", "m²", "m2", "terreno")))
     areas = F.filter(F.transform(sized, decimal_ptbr), lambda a: a.isNotNull())
     nonzero = F.filter(areas, lambda a: a != 0)

@@ -1 +1,122 @@
-"""Pending."""
+"""Training, comparison and export. Fits are not expressible in SQL: rows only.
+
+Tree counts are the operators' parameters. The registered fits use fewer trees than
+the defaults (200) where many models are fitted in one query.
+"""
+
+from pyspark.sql import functions as F
+
+from ... import constants as K
+from ...operators import features as X, scoring as P, training as T
+from ...sources.staging import scratch_path, staged
+from ..bindings import table
+from ..registry import query
+from .cleaning import prepared
+
+NUMERIC = ["Area_m2", "Quartos", "Banheiros", "Vagas_Garagem", "Latitude", "Longitude", "Densidade_Comodos"]
+CATEGORICAL = ["Tipo_Imovel", "Bairro"]
+_ROWS: dict[tuple, object] = {}
+
+
+def training_rows(spark, sf):
+    """The whole training table with its property group and split, staged once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ROWS:
+        T.ensure_checkpoint_dir(spark, scratch_path(spark, "checkpoints"))
+        rows = X.property_group(prepared(spark, sf).where(F.col(K.TARGET) >= K.PRICE_FLOOR))
+        _ROWS[key] = staged(X.group_split(rows, "imovel"), "training")
+    return _ROWS[key]
+
+
+def _split(spark, sf):
+    rows = training_rows(spark, sf)
+    return rows.where(~F.col("teste")), rows.where("teste")
+
+
+@query("train_and_evaluate_boosted_trees", "M7 M5 A7")
+def _(spark, sf):
+    train, test = _split(spark, sf)
+    return T.evaluate(T.fit_price_model(train, NUMERIC, CATEGORICAL, T.gbt(maxIter=20)), test)
+
+
+@query("compare_regressors", "M8 A10")
+def _(spark, sf):
+    train, test = _split(spark, sf)
+    return T.compare_models(train, test, NUMERIC, CATEGORICAL, T.candidate_models(trees=5))
+
+
+@query("train_by_segment", "M9 F8 M6")
+def _(spark, sf):
+    rows = training_rows(spark, sf)
+    kinds = [r[0] for r in rows.select("Tipo_Imovel").distinct().orderBy("Tipo_Imovel").collect()]  # one model each
+    return T.train_by_segment(rows, "Tipo_Imovel", kinds, NUMERIC, "teste", T.gbt(maxIter=3))
+
+
+@query("cross_validated_errors", "M6")
+def _(spark, sf):
+    return T.cross_validate(training_rows(spark, sf), NUMERIC, [], "imovel", 5, T.gbt(maxIter=3))
+
+
+@query("random_parameter_search", "M10")
+def _(spark, sf):
+    train, test = _split(spark, sf)
+    return T.random_search(train, test, NUMERIC, trials=3, maxDepth=(3, 5), maxIter=(2, 5))
+
+
+@query("compare_feature_sets", "M11")
+def _(spark, sf):
+    sets = {"base": (NUMERIC[:4], []), "base + posicao": (NUMERIC, []), "base + posicao + bairro": (NUMERIC, CATEGORICAL)}
+    return T.compare_feature_sets(training_rows(spark, sf), sets, "teste", T.gbt(maxIter=4))
+
+
+@query("learning_curve", "M12")
+def _(spark, sf):
+    train, test = _split(spark, sf)
+    return T.learning_curve(train, test, "imovel", [0.1, 0.5], 2, NUMERIC, (), T.gbt(maxIter=3))
+
+
+@query("top_feature_importances", "M13 K2")
+def _(spark, sf):
+    train, _test = _split(spark, sf)
+    model = T.fit_price_model(train, NUMERIC, CATEGORICAL, T.gbt(maxIter=5))
+    return T.top_importances(T.feature_importance(model, train))
+
+
+def _exported(spark, sf):
+    train, test = _split(spark, sf)
+    model = T.fit_price_model(train, NUMERIC, (), T.gbt(maxIter=10))
+    path = scratch_path(spark, "model")
+    model.stages[-1].write().save(path)
+    return model, T.flat_node_table(spark, path), test
+
+
+@query("export_flat_node_table", "S13 M19")
+def _(spark, sf):
+    return _exported(spark, sf)[1]
+
+
+@query("exported_scores_agree_with_model", "M15 S13", "SELECT 0 AS divergentes, 0 AS problemas")
+def _(spark, sf):
+    """Node-table scores against the model's own. Features are rounded to 32 bits
+    before both, since only the node table's rule rounds."""
+    model, nodes, test = _exported(spark, sf)
+    test = test.withColumns({c: F.col(c).cast("float").cast("double") for c in NUMERIC})
+    both = P.score_node_table(model.transform(test).withColumnRenamed("previsto", "modelo"), nodes, NUMERIC, 0.0, 1.0)
+    apart = F.abs(F.col("previsto") - F.col("modelo")) > 1e-6 * F.abs("modelo") + 0.01
+    out = both.agg(F.count_if(apart).cast("int").alias("divergentes"))
+    problems = P.node_table_problems(nodes).agg(F.count("*").cast("int").alias("p")).scalar()
+    return out.withColumn("problemas", problems)
+
+
+@query("saved_artifacts_round_trip", "S12", "SELECT count(*) > 0 AS ok FROM lineitem")
+def _(spark, sf):
+    train, test = _split(spark, sf)
+    model = T.fit_price_model(train, NUMERIC, CATEGORICAL, T.gbt(maxIter=2))
+    path = scratch_path(spark, "artifacts")
+    context = ["Latitude", "Longitude"]
+    T.save_artifacts(model, X.neighbourhood_profiles(train, context), X.feature_defaults(train, context), path)
+    again, profiles, defaults = T.load_artifacts(spark, path)
+    sums = [m.transform(test).agg(F.round(F.sum("previsto"), 2).alias("s")).scalar() for m in (model, again)]
+    counts = [d.agg(F.count("*").alias("n")).scalar() for d in (profiles, defaults)]
+    ok = (sums[0] == sums[1]) & (counts[0] > 0) & (counts[1] == len(context))
+    return table(spark, sf, "lineitem").agg(F.count("*").alias("n")).select(((F.col("n") > 0) & ok).alias("ok"))
