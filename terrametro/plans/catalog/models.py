@@ -10,22 +10,22 @@ from ... import constants as K
 from ...operators import features as X, scoring as P, training as T
 from ...sources.staging import scratch_path, staged
 from ..bindings import table
-from ..registry import query
+from ..registry import query, shared
 from .cleaning import prepared
 
 NUMERIC = ["Area_m2", "Quartos", "Banheiros", "Vagas_Garagem", "Latitude", "Longitude", "Densidade_Comodos"]
 CATEGORICAL = ["Tipo_Imovel", "Bairro"]
-_ROWS: dict[tuple, object] = {}
 
 
 def training_rows(spark, sf):
     """The whole training table with its property group and split, staged once."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _ROWS:
-        T.ensure_checkpoint_dir(spark, scratch_path(spark, "checkpoints"))
+    T.ensure_checkpoint_dir(spark, scratch_path(spark, "checkpoints"))
+
+    def build():
         rows = X.property_group(prepared(spark, sf).where(F.col(K.TARGET) >= K.PRICE_FLOOR))
-        _ROWS[key] = staged(X.group_split(rows, "imovel"), "training")
-    return _ROWS[key]
+        return staged(X.group_split(rows, "imovel"), "training")
+
+    return shared(spark, sf, "training", build)
 
 
 def _split(spark, sf):

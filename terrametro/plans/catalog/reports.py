@@ -7,20 +7,14 @@ from ...operators import metrics as M
 from ...sources.staging import staged
 from ...operators.quantiles import exact_quantiles
 from ..bindings import LISTINGS_SQL, PREDICTED_SQL, UNIQUE_SQL, listings, pois, POIS_SQL, predicted, table
-from ..registry import query, r, rounded
+from ..registry import query, r, rounded, shared
 from .cleaning import PREPARED_SQL, prepared, unique
 
 
-_UNIQUE: dict[tuple, object] = {}
-
-
 def unique_staged(spark, sf):
-    """Reports read the deduplicated listings several times: staged once a session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _UNIQUE:
-        columns = [K.URL, K.TARGET, "Area_m2", "Quartos", "Banheiros", "Vagas_Garagem", "Latitude", "Longitude", "Bairro", "Tipo_Imovel"]
-        _UNIQUE[key] = staged(unique(spark, sf).select(*columns), "unique")
-    return _UNIQUE[key]
+    """Reports read the deduplicated listings several times."""
+    columns = [K.URL, K.TARGET, "Area_m2", "Quartos", "Banheiros", "Vagas_Garagem", "Latitude", "Longitude", "Bairro", "Tipo_Imovel"]
+    return shared(spark, sf, "unique", lambda: staged(unique(spark, sf).select(*columns), "unique"))
 
 
 def scored(spark, sf):

@@ -10,6 +10,21 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 SURVEY: dict[str, str] = {}
 
+# Tables several queries share, staged once per session and data folder.
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Makes the next query stage its tables again, as a benchmark must."""
+    _SHARED.clear()
+
 
 def query(name: str, ids: str, sql: str | None = None):
     """Registers a query under a name with the survey items it covers."""

@@ -1,6 +1,6 @@
 """Arrivals of listings: deduplicate, skip what is stored, merge by URL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import keep_last
@@ -18,7 +18,9 @@ def read_arrivals(spark: SparkSession, path: str, schema, files_per_trigger: int
 def dedup_arrivals(stream: DataFrame, key: str, event_time: str, horizon: str = "7 days") -> DataFrame:
     """First arrival of each key. State is dropped once the watermark has passed, so it
     is bounded by the keys of one horizon."""
-    return stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
+    # Watermarks need zoned time; files may carry local timestamps.
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
 
 
 def new_arrivals_only(stream: DataFrame, stored: DataFrame, key: str) -> DataFrame:
