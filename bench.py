@@ -19,15 +19,11 @@ HEADLINE = [
     "price_within_iqr_fences",
     "impute_by_neighbourhood_mean",
     "prepare_training_set",
-    "pois_within_radii",
-    "nearest_poi_per_category",
     "census_features_by_position",
     "price_index_enrichment",
-    "geocode_address_ladder",
     "regression_metrics",
     "metrics_by_price_band",
     "heuristic_baselines",
-    "parse_detail_pages",
     "score_flat_node_table",
 ]
 
