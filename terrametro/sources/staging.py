@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; a local one only where
-    none is named, as in tests."""
+    """The folder the session names in spark.checkpoint.dir. A local one stands in only in
+    local mode, as in tests; on a cluster executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(tempfile.gettempdir(), "terrametro")
+    if named:
+        return named
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "terrametro")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
