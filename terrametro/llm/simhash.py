@@ -110,7 +110,8 @@ def allocate(n: int, mean: np.ndarray, groups: list[list[int]], max_bits: int) -
     A part's candidates at threshold t: pairs times the chance that at most t of its bits
     differ, bits taken as independent with their measured means.
     """
-    pairs, budget = n * (n - 1) / 2, max_bits + 1
+    n, budget = max(n, 2), max_bits + 1
+    pairs = n * (n - 1) / 2
     best = {0: (0.0, [])}
     for group in groups:
         chance = np.array([1.0])
