@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact, simhash
-from .common import table
+from . import bpe, decontam, exact, simhash, toxicity
+from .common import in_bucket, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -32,3 +33,46 @@ g AS (SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, coun
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM g""")
 def op8(spark, sf):
     return exact.exact_duplicates(table(spark, sf, "documents"), keep="largest")
+
+
+@_query("op3_toxicity")
+def op3(spark, sf):
+    docs, held_out = table(spark, sf, "documents"), in_bucket("doc_id", 5, 0)
+    model = toxicity.fit_toxicity(docs.where(~held_out), table(spark, sf, "labels"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score_column(docs["text"], model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@_query("op7_byte_bpe")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents")
+    tokens = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = docs.select("doc_id", bpe.encode_column(docs["text"], tokens, public_tokenizers.PATTERN, spark).alias("coded"))
+    ids = F.col("coded.ids")
+    return coded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
+    )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@_query("op9_benchmark_decontamination", f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+spans AS (SELECT item_id, w, least(10, len(w)) AS span FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, span, array_to_string(w[s:s + span - 1], ' ') AS phrase FROM (SELECT item_id, w, span, unnest(range(1, len(w) - span + 2)) AS s FROM spans)),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, span, s, array_to_string(w[s:s + span - 1], ' ') AS phrase FROM
+  (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS s FROM docs, (SELECT DISTINCT span FROM windows))),
+found AS (SELECT doc_id, item_id, s, span FROM places JOIN windows USING (span, phrase)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + span)) AS p FROM found) GROUP BY 1),
+item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM found GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)""")
+def op9(spark, sf):
+    found = decontam.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )

@@ -31,9 +31,14 @@ _CHUNK = 1 << 15
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
     """SimHash of the word shingles, repeats counted; 0 for a text without words."""
+    return fingerprint_pair(text, words, False)[0]
+
+
+def fingerprint_pair(text: bytes | None, words: int, second: bool = True) -> tuple[int, int]:
+    """The fingerprint and an independent one, from the same hashes mixed once more."""
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return 0, 0
     line = b" ".join(tokens)
     if len(tokens) <= words:
         hashes = [xxhash.xxh64_intdigest(line, 42)]
@@ -44,28 +49,35 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
         end = (begin + sizes)[words - 1 :]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[i:j], 42) for i, j in zip(begin.tolist(), end.tolist())]
-    votes = np.zeros(BITS, np.int64)
+    first, other = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = np.array(hashes[at : at + _CHUNK], dtype="<u8")
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+        first += _votes(part)
+        if second:
+            part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            other += _votes(part ^ (part >> np.uint64(31)))
+    return tuple(int(np.packbits(v * 2 > len(hashes), bitorder="little").view("<u8")[0]) for v in (first, other))
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed bigint."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, second: bool = False) -> DataFrame:
+    """(id, fp, fp2): fingerprints as signed bigints; fp2 is 0 unless second."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint_pair(t.as_py(), words, second) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "fp", "fp2"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, fp2 bigint")
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
+def bit_statistics(fps: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:
     """Number of fingerprints and the 64 x 64 counts of bits set together."""
 
     def run(batches):
@@ -77,7 +89,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             n += len(bits)
         yield pa.RecordBatch.from_pydict({"pos": np.arange(-1, BITS * BITS), "n": np.concatenate([[n], total.ravel()]).astype(np.int64)})
 
-    rows = fps.select("fp").mapInArrow(run, "pos bigint, n bigint").groupBy("pos").agg(F.sum("n").alias("n")).collect()
+    rows = fps.select(column).mapInArrow(run, "pos bigint, n bigint").groupBy("pos").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(BITS * BITS + 1)
     for row in rows:
         flat[row["pos"] + 1] = row["n"]
@@ -146,65 +158,66 @@ def plan_masks(n: int, together: np.ndarray, max_bits: int) -> list[int]:
     return masks
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two blocks (or inside one): all if few, else as many as keep what is connected."""
-    near = np.bitwise_count(left[:, None] ^ right[None, :]) <= max_bits
-    if left is right:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    if len(i) <= 4 * (len(left) + len(right)):
-        return left[i], right[j]
-    rows_left, cols_left = near.any(axis=1), near.any(axis=0)
-    if left is right:
-        near = near | near.T
-        rows_left = cols_left = near.any(axis=1)
-    out_a, out_b = [], []
-    rows_left, cols_left = rows_left.copy(), cols_left.copy()
-    while rows_left.any():
-        frontier = np.array([np.argmax(rows_left)])
-        rows_left[frontier] = False
-        if left is right:
-            cols_left[frontier] = False
+def _spanning(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a block pair (same: of a block with itself): all if few, else a spanning forest."""
+    i, j = np.nonzero(np.triu(near, 1) if same else near)
+    if len(i) <= 4 * sum(near.shape):
+        return i, j
+    rows, cols, out_a, out_b = near.any(axis=1), near.any(axis=0), [], []
+    while rows.any():
+        frontier = np.array([np.argmax(rows)])
+        rows[frontier] = False
+        if same:
+            cols[frontier] = False
         while len(frontier):
-            reach = near[frontier] & cols_left
-            cols = np.flatnonzero(reach.any(axis=0))
-            if not len(cols):
+            reach = near[frontier] & cols
+            found = np.flatnonzero(reach.any(axis=0))
+            if not len(found):
                 break
-            out_a.append(left[frontier[reach[:, cols].argmax(axis=0)]])
-            out_b.append(right[cols])
-            cols_left[cols] = False
-            if left is right:
-                rows_left[cols] = False
-                frontier = cols
+            out_a.append(frontier[reach[:, found].argmax(axis=0)])
+            out_b.append(found)
+            cols[found] = False
+            if same:
+                rows[found] = False
+                frontier = found
             else:
-                back = near[:, cols] & rows_left[:, None]
+                back = near[:, found] & rows[:, None]
                 frontier = np.flatnonzero(back.any(axis=1))
-                out_a.append(left[frontier])
-                out_b.append(right[cols[back[frontier].argmax(axis=1)]])
-                rows_left[frontier] = False
+                out_a.append(frontier)
+                out_b.append(found[back[frontier].argmax(axis=1)])
+                rows[frontier] = False
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """fps(fp), distinct -> (a, b): pairs within max_bits that connect all that such pairs connect."""
-    n, together = bit_statistics(fps)
-    masks = plan_masks(n, together, max_bits)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("v")) for k, m in enumerate(signed)])
-    filed = fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.k", "key.v")
+def links(fps: DataFrame, max_bits: int = 4, confirm_bits: int | None = None) -> DataFrame:
+    """fps(node, fp, fp2), distinct -> (a, b): node pairs that connect all that linked pairs connect.
+
+    Without confirm_bits a pair is linked if fp differs in at most max_bits. With it, both
+    fingerprints are probed at max_bits, and a pair is linked if the 128 bits of both differ
+    in at most confirm_bits.
+    """
+    tables, keys = (["fp"] if confirm_bits is None else ["fp", "fp2"]), []
+    for column in tables:
+        masks = plan_masks(*bit_statistics(fps, column), max_bits)
+        for m in masks:
+            value = F.col(column).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint"))
+            keys.append(F.struct(F.lit(len(keys)).alias("k"), value.alias("v")))
+    filed = fps.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key")).select("key.k", "key.v", "node", "fp", "fp2")
     # Buckets beyond a block are cut into blocks; every pair of blocks meets in one cell.
     sizes = filed.groupBy("k", "v").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     blocks = small(staged(sizes.select("k", "v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "crowded"))
-    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int")
+    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
     dealt = filed.join(blocks, ["k", "v"], "left").withColumn("own", own)
     others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-    cells = dealt.withColumn("other", others).select("k", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp")
+    cells = dealt.withColumn("other", others).select(
+        "k", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "fp", "fp2"
+    )
     cells = cells.repartition("k", "v", "x", "y").sortWithinPartitions("k", "v", "x", "y", "own")
 
     def run(batches):
         held = None
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(6)], axis=1)
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(8)], axis=1)
             rows = rows if held is None else np.concatenate([held, rows])
             cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
             edges = [0, *cuts.tolist()]
@@ -213,37 +226,49 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         if held is not None:
             yield from compare(held, [0, len(held)])
 
+    def near(p, q):
+        apart = np.bitwise_count(p[:, None, 0] ^ q[None, :, 0])
+        if confirm_bits is None:
+            return apart <= max_bits
+        return apart + np.bitwise_count(p[:, None, 1] ^ q[None, :, 1]) <= confirm_bits
+
     def compare(rows, edges):
         a, b = [], []
         for i, j in zip(edges[:-1], edges[1:]):
             if j - i > 1:
-                fp = rows[i:j, 5].astype(np.int64).view(np.uint64)
-                if rows[i, 2] == rows[i, 3]:
-                    found = _spanning(fp, fp, max_bits)
-                else:
-                    first = rows[i:j, 4] == rows[i, 2]
-                    found = _spanning(fp[first], fp[~first], max_bits)
-                a.append(found[0])
-                b.append(found[1])
+                cell = rows[i:j]
+                prints = np.ascontiguousarray(cell[:, 6:]).view(np.uint64)
+                same = cell[0, 2] == cell[0, 3]
+                left = np.ones(j - i, bool) if same else cell[:, 4] == cell[0, 2]
+                right = left if same else ~left
+                found = _spanning(near(prints[left], prints[right]), same)
+                a.append(cell[left, 5][found[0]])
+                b.append(cell[right, 5][found[1]])
         if a:
-            yield pa.RecordBatch.from_pydict({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+def simhash_groups(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, max_bits: int = 4, confirm_bits: int | None = None
+) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
 
+    confirm_bits: see links(); for wider radii, where 64 bits alone would link unrelated texts
+    of a large corpus.
+
     Links are compared once per distinct fingerprint, so copies cost nothing. Texts that are
     missing, empty or blank share fingerprint zero and are linked like others. Missing ids
     never name a component; one that has no other id is null. Repeated rows are answered
     alike. An empty table gives no rows. Other columns are ignored.
     """
-    hashed = staged(fingerprints(docs, id_column, text_column, words), "fingerprints")
-    distinct = staged(hashed.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    roots = staged(components(links(distinct.select("fp"), max_bits)), "roots")
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    hashed = staged(fingerprints(docs, id_column, text_column, words, confirm_bits is not None), "fingerprints")
+    node = F.col("fp") if confirm_bits is None else F.xxhash64("fp", "fp2")
+    distinct = staged(hashed.groupBy("fp", "fp2").agg(F.min("id").alias("low")).withColumn("node", node), "distinct")
+    roots = staged(components(links(distinct.select("node", "fp", "fp2"), max_bits, confirm_bits)).withColumnRenamed("node", "linked"), "roots")
+    named = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("fp", "fp2", "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = staged(named.join(lowest, "root").select("fp", "component_id"), "classes")
-    out = hashed.join(classes, "fp")
+    classes = staged(named.join(lowest, "root").select("fp", "fp2", "component_id"), "classes")
+    out = hashed.join(classes, ["fp", "fp2"])
     return out.select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -69,7 +69,7 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, seed, block
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     for bits in (2, 4):
         want = brute(fps, bits)
-        roots = {r.node % (1 << 64): r.root for r in components(simhash.links(spark.createDataFrame(signed, "fp long"), bits)).collect()}
+        roots = {r.node % (1 << 64): r.root for r in components(simhash.links(spark.createDataFrame([(f, f, 0) for f, in signed], "node long, fp long, fp2 long"), bits)).collect()}
         groups = {}
         for f, r in want.items():
             groups.setdefault(r, set()).add(f)
@@ -97,3 +97,14 @@ def test_groups_over_texts(spark):
     got = [(r.doc_id, r.component_id) for r in simhash.simhash_groups(spark.createDataFrame(rows, DOCS)).collect()]
     assert sorted(got, key=str) == sorted([(7, 3), (3, 3), (9, 9), (None, 3), (5, 4), (4, 4), (4, 4)], key=str)
     assert simhash.simhash_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_confirmed_groups_of_similar_texts(spark):
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(500)]
+    close = list(words)
+    close[100], close[300] = "changed", "too"
+    far = [w if rnd.random() < 0.8 else "x" + w for w in words]
+    rows = [(i, " ".join(t), "", 0) for i, t in enumerate((words, close, far))]
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, DOCS), words=5, max_bits=9, confirm_bits=20).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
