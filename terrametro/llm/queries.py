@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, simhash, toxicity
+from . import bpe, decontam, exact, html, pii, simhash, toxicity
 from .common import in_bucket, table
 
 QUERIES: dict = {}
@@ -76,3 +76,17 @@ def op9(spark, sf):
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+@_query("op6_html_main_text")
+def op6(spark, sf):
+    return html.main_texts(table(spark, sf, "pages"))
+
+
+#: The key of the registered query; a user brings a secret one.
+DEMO_KEY = b"surrogate key of the registered query"
+
+
+@_query("op10_pii_surrogates")
+def op10(spark, sf):
+    return pii.replace_personal_data(table(spark, sf, "documents"), DEMO_KEY)
