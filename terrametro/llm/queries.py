@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, html, pii, simhash, toxicity
+from . import bpe, chat, decontam, exact, html, licenses, pii, simhash, toxicity
 from .common import in_bucket, table
 
 QUERIES: dict = {}
@@ -90,3 +90,51 @@ DEMO_KEY = b"surrogate key of the registered query"
 @_query("op10_pii_surrogates")
 def op10(spark, sf):
     return pii.replace_personal_data(table(spark, sf, "documents"), DEMO_KEY)
+
+
+@_query("op2_chat_rotation", r"""
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn // 512, 0) AS part, turn, coalesce(role, 'unknown') AS role,
+    replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') || '<|im_end|>' AS body FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (SELECT t.conv_id, speaker, part, turn, role, body, role = speaker AS own, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+    ELSE 'user name=' || regexp_replace(role, '\s+', '_', 'g') END || chr(10) AS head FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
+SELECT conv_id, speaker, CAST(part AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS text,
+  coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || '-' || CAST(pos + length(head) + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, body) FILTER (WHERE own), '') AS mask
+FROM o GROUP BY conv_id, speaker, part""")
+def op2(spark, sf):
+    return chat.rotate(table(spark, sf, "conversations"))
+
+
+_TEMPLATE_ROWS, _OTHER_IDF = licenses.weights()
+_TEMPLATE_SQL = ", ".join(f"({k}, '{licence}', '{term}', {idf!r}, {weight!r})" for k, licence, term, idf, weight in _TEMPLATE_ROWS)
+_TRIGGER_SQL = licenses.TRIGGER.removeprefix("(?i)")
+
+
+@_query("op4_license_scan", rf"""
+WITH tpl(template, licence, term, idf, weight) AS (VALUES {_TEMPLATE_SQL}),
+files AS (SELECT CASE WHEN length(coalesce(text, '')) < 400 THEN concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), 'LICENSE-' || doc_id)
+    ELSE concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), doc_id // 64, 'doc_' || doc_id || '.txt') END AS path, text FROM documents WHERE doc_id IS NOT NULL),
+said AS (SELECT DISTINCT path, statement FROM (SELECT path, unnest(string_split(regexp_replace(text, '([.;!?])\s+', '' || chr(10), 'g'), chr(10))) AS statement FROM files)
+    WHERE regexp_matches(statement, '{_TRIGGER_SQL}', 'i')),
+terms AS (SELECT statement, term, count(*) AS tf FROM (SELECT statement, unnest(regexp_extract_all(lower(statement), '{licenses.TERM}')) AS term FROM (SELECT DISTINCT statement FROM said)) GROUP BY 1, 2),
+valued AS (SELECT statement, term, tf * coalesce(idf, {_OTHER_IDF!r}) AS value FROM terms LEFT JOIN (SELECT DISTINCT term, idf FROM tpl) USING (term)),
+norms AS (SELECT statement, sqrt(sum(value * value)) AS norm FROM valued GROUP BY 1),
+cosine AS (SELECT statement, licence, round(sum(value * weight) / any_value(norm), 6) AS score FROM valued JOIN tpl USING (term) JOIN norms USING (statement) GROUP BY statement, template, licence),
+own AS (SELECT path, licence, score FROM (SELECT path, licence, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) AS k
+    FROM said JOIN cosine USING (statement) WHERE score >= {licenses.LEAST}) WHERE k = 1),
+given AS (SELECT above, licence AS given FROM (SELECT regexp_extract(path, '^(.*?)/?[^/]*$', 1) AS above, licence, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*?)/?[^/]*$', 1) ORDER BY score DESC, licence) AS k
+    FROM own WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '^(un)?(licen[cs]e|copying|notice)([.-].*)?$', 'i')) WHERE k = 1),
+places AS (SELECT DISTINCT path, regexp_extract(path, '^(.*?)/?[^/]*$', 1) AS directory FROM files),
+near AS (SELECT path, above, given FROM (SELECT path, above, given, row_number() OVER (PARTITION BY path ORDER BY length(above) DESC) AS k
+    FROM places JOIN given ON above = directory OR above = '' OR starts_with(directory, above || '/')) WHERE k = 1)
+SELECT path, coalesce(licence, given) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN licence IS NULL THEN above END AS inherited_from FROM places LEFT JOIN own USING (path) LEFT JOIN near USING (path)""")
+def op4(spark, sf):
+    """Documents as files: source, language and id make the path; short ones are licence files."""
+    docs = table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    place = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")))
+    long = F.concat_ws("/", place, F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
+    path = F.when(F.length(F.coalesce("text", F.lit(""))) < 400, F.concat(place, F.lit("/LICENSE-"), "doc_id")).otherwise(long)
+    return licenses.file_licences(docs.select(path.alias("path"), "text"))
