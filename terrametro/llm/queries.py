@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact, html, licenses, pii, simhash, toxicity
+from . import bpe, chat, decontam, exact, html, licenses, lm, pii, simhash, toxicity
 from .common import in_bucket, table
 
 QUERIES: dict = {}
@@ -138,3 +138,8 @@ def op4(spark, sf):
     long = F.concat_ws("/", place, F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
     path = F.when(F.length(F.coalesce("text", F.lit(""))) < 400, F.concat(place, F.lit("/LICENSE-"), "doc_id")).otherwise(long)
     return licenses.file_licences(docs.select(path.alias("path"), "text"))
+
+
+@_query("op5_lm_scoring")
+def op5(spark, sf):
+    return lm.score_texts(table(spark, sf, "documents"), ~in_bucket("doc_id", 7, 2))
