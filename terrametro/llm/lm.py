@@ -227,7 +227,7 @@ def fit(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[
     return model
 
 
-def slot_log10(model: dict, slots: np.ndarray, chunk: int = 8192) -> np.ndarray:
+def slot_log10(model: dict, slots: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """log10 probability of every place's slot by exact softmax; 0 at pads."""
     out, vectors = np.zeros(len(slots)), predict(model, slots)[0]
     real = np.flatnonzero(slots < SLOTS)
@@ -236,7 +236,7 @@ def slot_log10(model: dict, slots: np.ndarray, chunk: int = 8192) -> np.ndarray:
         scores = vectors[some] @ model["target"].T + model["bias"]
         scores -= scores.max(axis=1, keepdims=True)
         aim = scores[np.arange(len(some)), slots[some]]
-        out[some] = (aim - np.log(np.exp(scores).sum(axis=1))) / np.log(10)
+        out[some] = (aim - np.log(np.exp(scores, out=scores).sum(axis=1))) / np.log(10)
     return out
 
 
@@ -264,7 +264,7 @@ def score_texts(docs: DataFrame, learn, id_column: str = "doc_id", text_column:
         logs = np.log10(held.counts + 1) if len(held.counts) else np.zeros(1)
         end = np.log10(held.ends + 1)
         for batch in batches:
-            n_tokens, n_known, base, score, rare = [], [], [], [], []
+            n_tokens, n_known, base, score, rare, lines = [], [], [], [], [], []
             for text in batch.column("body").cast(pa.binary()):
                 read = words_of(text.as_py())
                 codes = held.codes(read)
@@ -274,8 +274,10 @@ def score_texts(docs: DataFrame, learn, id_column: str = "doc_id", text_column:
                 n_tokens.append(len(read) + 1)
                 n_known.append(int(known.sum()) + int(held.ends > 0))
                 base.append(shares - (len(read) + 1) * base_of)
-                score.append(shares - slot_base[slots].sum() - slot_base[0] + _whole(network, slots))
+                score.append(shares - slot_base[slots].sum() - slot_base[0])
+                lines.append(slots.astype(np.int16))
                 rare.append([read[i] for i in np.flatnonzero(~known).tolist()])
+            score = np.array(score) + _sums(network, lines)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("uid"), batch.column("id"), batch.column("learn"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary()))],
                 ["uid", "id", "learn", "n_tokens", "n_known", "base", "score", "rare"],
@@ -294,6 +296,28 @@ def score_texts(docs: DataFrame, learn, id_column: str = "doc_id", text_column:
     )
 
 
+def _sums(model: dict, lines: list[np.ndarray], together: int = 8192) -> np.ndarray:
+    """The model's sum over each text; short texts share matrices, long ones are read in pieces."""
+    out, waiting, size = np.zeros(len(lines)), [], 0
+
+    def flush():
+        starts = np.cumsum([0, *(len(lines[d]) + _PAD + 2 for d in waiting)])[:-1]
+        out[waiting] = np.add.reduceat(slot_log10(model, sequence([lines[d] for d in waiting])), starts)
+
+    for d, line in enumerate(lines):
+        if len(line) > together:
+            out[d] = _whole(model, line)
+            continue
+        waiting.append(d)
+        size += len(line)
+        if size >= together:
+            flush()
+            waiting, size = [], 0
+    if waiting:
+        flush()
+    return out
+
+
 def _whole(model: dict, slots: np.ndarray, piece: int = 1 << 17) -> float:
     """Sum over a whole text, in pieces that see the words before them."""
     line = sequence([slots])

@@ -50,3 +50,5 @@ def test_next_word_probabilities_sum_to_one(spark):
     assert abs(total - 1) < 1e-4
     slots = np.random.default_rng(1).integers(0, lm.SLOTS, 700)
     assert abs(lm._whole(model, slots) - lm._whole(model, slots, 64)) < 1e-3
+    lines = [slots[:5], slots[5:5], slots[:600], slots[100:130]]
+    assert np.allclose(lm._sums(model, lines, 50), [lm._whole(model, x) for x in lines], atol=1e-3)
