@@ -139,16 +139,16 @@ def page_payload(html: Column) -> Column:
     return F.coalesce(valid(script), valid(assigned), F.lit("{}"))
 
 
-def _objects(node):
+def _objects(tree):
     """Every object of a JSON tree; later siblings first, each before its own parts."""
-    if isinstance(node, dict):
-        yield node
-        parts = list(node.values())
-    else:
-        parts = node if isinstance(node, list) else []
-    for part in reversed(parts):
-        if isinstance(part, (dict, list)):
-            yield from _objects(part)
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            yield node
+            waiting.extend(v for v in node.values() if isinstance(v, (dict, list)))
+        elif isinstance(node, list):
+            waiting.extend(v for v in node if isinstance(v, (dict, list)))
 
 
 def _first_set(node, names):
@@ -160,7 +160,7 @@ AD_PRICE = ["price", "priceValue", "price_total"]
 AD_TITLE = ["title", "subject"]
 
 
-def _ads_of_page(payload: str, cap: int):
+def _ads_of_page(payload: str, cap: int | None):
     try:
         tree = json.loads(payload)
     except (ValueError, RecursionError):
@@ -175,13 +175,13 @@ def _ads_of_page(payload: str, cap: int):
             continue
         seen.add(marker)
         yield json.dumps(node, ensure_ascii=False)
-        if len(seen) >= cap:
+        if cap is not None and len(seen) >= cap:
             return
 
 
-def find_ads(pages: DataFrame, page: str, payload: str = "payload", cap: int = K.MAX_ADS_PER_PAGE) -> DataFrame:
-    """Ad objects anywhere in a page's payload: (page, pos, ad JSON), at most `cap` a
-    page, the site's own page size. The recursive walk is per page, in Arrow batches;
+def find_ads(pages: DataFrame, page: str, payload: str = "payload", cap: int | None = None) -> DataFrame:
+    """Ad objects anywhere in a page's payload: (page, pos, ad JSON); with `cap`, the first
+    so many a page (K.MAX_ADS_PER_PAGE is the site's page size). The walk is per page, in Arrow batches;
     all field work on the ads is native."""
     kind = dict(pages.dtypes)[page]
 

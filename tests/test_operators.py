@@ -185,3 +185,26 @@ def test_ad_fields_try_their_aliases(spark):
     row = X.ads_to_listings(spark.createDataFrame([(ad,)], "ad string"), "Portal", "https://busca?q=").first()
     assert (row["Valor_Anuncio"], row["Area_m2"], row["Quartos"], row["Vagas_Garagem"]) == (1500.5, 80.0, 3, 2)
     assert (row["Bairro"], row["URL_Anuncio"], row["Tipo_Negocio"], row["Tipo_Imovel"]) == ("Horto", "https://busca?q=s", "Aluguel", "Imóvel")
+
+
+def test_ads_of_a_page_have_no_cap_and_no_depth_limit(spark):
+    import json
+
+    many = json.dumps({"ads": [{"listId": i, "price": 1, "title": "t"} for i in range(1, 101)]})
+    pages = spark.createDataFrame([("a", many), ("b", '{"x": not json')], "p string, payload string")
+    assert X.find_ads(pages, "p").count() == 100
+    assert X.find_ads(pages, "p", cap=60).count() == 60
+    deep = {"listId": 7, "price": 1, "title": "t"}
+    for _ in range(10_000):
+        deep = {"x": deep}
+    assert sum(1 for _ in X._objects(deep)) == 10_001
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from terrametro.sources.staging import shared_folder
+
+    conf = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d))))
