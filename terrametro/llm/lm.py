@@ -230,13 +230,18 @@ def fit(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict[
 def slot_log10(model: dict, slots: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """log10 probability of every place's slot by exact softmax; 0 at pads."""
     out, vectors = np.zeros(len(slots)), predict(model, slots)[0]
-    real = np.flatnonzero(slots < SLOTS)
+    real, ones = np.flatnonzero(slots < SLOTS), np.ones((SLOTS, 1), np.float32)
+    target = np.concatenate([model["target"], model["bias"][:, None], ones], axis=1)
+    # Scores are shifted only where their bound could overflow exp.
+    bound = np.linalg.norm(vectors, axis=1) * np.linalg.norm(model["target"], axis=1).max() + model["bias"].max()
+    shift = -np.maximum(bound - 60, 0)[:, None].astype(np.float32)
+    vectors = np.concatenate([vectors, np.ones((len(vectors), 1), np.float32), shift], axis=1)
     for at in range(0, len(real), chunk):
         some = real[at : at + chunk]
-        scores = vectors[some] @ model["target"].T + model["bias"]
-        scores -= scores.max(axis=1, keepdims=True)
+        scores = vectors[some] @ target.T
         aim = scores[np.arange(len(some)), slots[some]]
-        out[some] = (aim - np.log(np.exp(scores, out=scores).sum(axis=1))) / np.log(10)
+        total = (np.exp(scores, out=scores) @ ones)[:, 0]
+        out[some] = (aim - np.log(np.maximum(total, 1e-37))) / np.log(10)
     return out
 
 
