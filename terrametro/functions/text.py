@@ -9,9 +9,9 @@ from ..constants import INVALID_TEXTS, KNOWN_TYPES, STREET_ABBREVIATIONS, TITLE_
 
 
 def _accent_pairs() -> tuple[str, str]:
-    """Accented letters and their bases, by canonical decomposition."""
+    """Characters of any script that decompose to one base and marks, with that base."""
     accented, plain = [], []
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+    for code in range(0x00A0, 0x10000):
         parts = unicodedata.normalize("NFKD", chr(code))
         base = [c for c in parts if not unicodedata.combining(c)]
         if len(base) == 1 and base[0] != chr(code):

@@ -151,11 +151,11 @@ def drop_constant_columns(df: DataFrame, columns, rule: str = "distinct") -> Dat
     return df.drop(*[r["coluna"] for r in constant_columns(df, columns, rule).collect()])
 
 
-def select_training_columns(df: DataFrame) -> DataFrame:
-    """Numerics, engineered, categories, then optional columns that are numeric."""
+def select_training_columns(df: DataFrame, extra=()) -> DataFrame:
+    """Numerics, engineered, categories, then optional and extra columns that are numeric."""
     numeric = set(numeric_columns(df))
     wanted = K.REQUIRED_NUMERIC + K.ENGINEERED + K.REQUIRED_CATEGORICAL
-    wanted = wanted + [c for c in K.OPTIONAL_COLUMNS if c in numeric and c not in wanted]
+    wanted = wanted + [c for c in dict.fromkeys([*K.OPTIONAL_COLUMNS, *extra]) if c in numeric and c not in wanted]
     return df.select(*[c for c in wanted if c in df.columns])
 
 
@@ -270,10 +270,11 @@ def impute_constants(df: DataFrame) -> DataFrame:
 
 
 def impute_medians(df: DataFrame, columns) -> DataFrame:
-    """Missing value <- exact median of its column."""
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), exact_median(df, c, name="m").select("m").scalar()) for c in columns}
-    )
+    """Missing value <- exact median of its column; all medians come from one run."""
+    cells = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in columns])
+    medians = exact_median(df.select(F.inline(cells)), "_x", ["_column"], name="m")
+    wide = medians.agg(F.struct(*[F.max(F.when(F.col("_column") == c, F.col("m"))).alias(c) for c in columns]).alias("s")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), wide[c]) for c in columns})
 
 
 def remaining_nulls(df: DataFrame) -> DataFrame:
@@ -307,12 +308,13 @@ def coerce_types(df: DataFrame) -> DataFrame:
     )
 
 
-def prepare_training_set(raw: DataFrame, order, stage=staged) -> DataFrame:
+def prepare_training_set(raw: DataFrame, order, stage=staged, extra=()) -> DataFrame:
     """Raw enriched listings to the training table.
 
     Sales only, one row per URL, typed, engineered, imputed, without price outliers.
     Categories stay single columns; encoding into one sparse vector happens at
-    training (`operators.features`).
+    training (`operators.features`). `extra` names numeric columns to keep beside the
+    fixed list: point, distance, census and score features.
 
     The deduplicated rows feed quartiles, group means and the result, so they go
     through `stage` once: the default writes them to the shared folder.
@@ -323,9 +325,10 @@ def prepare_training_set(raw: DataFrame, order, stage=staged) -> DataFrame:
         df = keep_first(df, [K.URL], order)
     base = stage(impute_constants(add_engineered(coerce_types(df))))
     df = impute_by_group_mean(base, ["Area_m2", "Latitude", "Longitude"], "Bairro")
-    df = df.withColumn("Area_m2", F.greatest("Area_m2", F.lit(1.0)))
+    # An area that nothing is known about stays NULL, and such a row goes below.
+    df = df.withColumn("Area_m2", F.when(F.col("Area_m2").isNotNull(), F.greatest("Area_m2", F.lit(1.0))))
     # Imputation neither drops rows nor touches the price: fences come from the base.
-    return select_training_columns(positive_area_and_price(within_iqr_fences(df, fitted_on=base)))
+    return select_training_columns(positive_area_and_price(within_iqr_fences(df, fitted_on=base)), extra)
 
 
 def load_training_rows(df: DataFrame, order) -> DataFrame:

@@ -172,7 +172,3 @@ def wide_profiles(long: DataFrame, columns, keys=()) -> DataFrame:
     return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("atributo") == c, F.col("mediana"))).alias(c) for c in columns]
     )
-
-
-def room_density(rooms: Column, baths: Column, area: Column) -> Column:
-    return (rooms + baths) / F.greatest(area, F.lit(1.0))

@@ -371,7 +371,7 @@ def _bounds(board: DataFrame, columns) -> Column:
 
 def combined_score(board: DataFrame, rmse: str = "rmse", r2: str = "r2") -> DataFrame:
     """0.6 x scaled RMSE + 0.4 x scaled R2 among rows with both; equal values score 1."""
-    valid = board.where(F.col(rmse).isNotNull() & F.col(r2).isNotNull())
+    valid = staged(board.where(F.col(rmse).isNotNull() & F.col(r2).isNotNull()), "board")
     bounds = _bounds(valid, [rmse, r2])
     return valid.withColumns(
         {
@@ -388,6 +388,7 @@ def select_best(board: DataFrame, name: str, rmse: str = "rmse", r2: str = "r2")
 def composite_rank(board: DataFrame, smaller=("rmse", "mae", "mape"), larger=("r2", "accuracy_10pct", "accuracy_20pct")) -> DataFrame:
     """Mean of the scaled metrics; a metric equal everywhere has no score and is
     left out of the mean."""
+    board = staged(board, "board")  # read for its bounds and for its rows
     bounds = _bounds(board, [*smaller, *larger])
     scores = {f"{c}_score": _scaled(c, bounds, True, None) for c in smaller}
     scores |= {f"{c}_score": _scaled(c, bounds, False, None) for c in larger}

@@ -4,16 +4,23 @@ Distinct values are counted first (hot values fold), then cut into ranges; range
 totals give each range its offset and only the inside of a range is ordered.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.staging import staged
 
 RANGES = 1024
 
 
-def _range_of(value: Column, splits: Column) -> Column:
-    # The cut points only balance the work; any cut points give the same ranks.
-    return F.size(F.filter(splits, lambda s: s < value))
+def _with_range(counts: DataFrame, splits) -> DataFrame:
+    """Adds `_range` by binary search. The cut points only balance the work; any cut
+    points give the same ranks."""
+    inner = sorted({s for s in splits or [] if math.isfinite(s)}) or [0.0]
+    edges = [-math.inf, *inner, math.inf]
+    # NaN comes last, as it does in Spark's order.
+    return Bucketizer(splits=edges, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(counts)
 
 
 def value_positions(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
@@ -27,7 +34,7 @@ def value_positions(df: DataFrame, column: str, ranges: int = RANGES) -> DataFra
     cuts = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
     counts = staged(counts, "ranks")  # read for the cuts, the range totals and the ranks
     splits = counts.agg(F.array_distinct(F.percentile_approx("_v", cuts, 10 * ranges)).alias("s")).first()["s"]
-    ranged = counts.withColumn("_range", _range_of(F.col("_v"), F.lit(splits or [0.0])))
+    ranged = _with_range(counts, splits)
     totals = ranged.groupBy("_range").agg(F.sum("_c").alias("_t"))
     # At most `ranges` rows, whatever the data: safe to order in one task and to broadcast.
     offsets = totals.select(

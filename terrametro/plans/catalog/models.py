@@ -1,7 +1,7 @@
 """Training, comparison and export. Fits are not expressible in SQL: rows only.
 
-Tree counts are the operators' parameters. The registered fits use fewer trees than
-the defaults (200) where many models are fitted in one query.
+Queries that fit a model or two use the default 200 trees. Those that fit many (per
+segment, fold, trial, share or feature set) use fewer; see README.
 """
 
 from pyspark.sql import functions as F
@@ -33,10 +33,14 @@ def _split(spark, sf):
     return rows.where(~F.col("teste")), rows.where("teste")
 
 
+def _full_model(spark, sf):
+    """The model with every default, fitted once for the queries that look at it."""
+    return shared(spark, sf, "full model", lambda: T.fit_price_model(_split(spark, sf)[0], NUMERIC, CATEGORICAL))
+
+
 @query("train_and_evaluate_boosted_trees", "M7 M5 A7")
 def _(spark, sf):
-    train, test = _split(spark, sf)
-    return T.evaluate(T.fit_price_model(train, NUMERIC, CATEGORICAL, T.gbt(maxIter=20)), test)
+    return T.evaluate(_full_model(spark, sf), _split(spark, sf)[1])
 
 
 @query("compare_regressors", "M8 A10")
@@ -47,9 +51,7 @@ def _(spark, sf):
 
 @query("train_by_segment", "M9 F8 M6")
 def _(spark, sf):
-    rows = training_rows(spark, sf)
-    kinds = [r[0] for r in rows.select("Tipo_Imovel").distinct().orderBy("Tipo_Imovel").collect()]  # one model each
-    return T.train_by_segment(rows, "Tipo_Imovel", kinds, NUMERIC, "teste", T.gbt(maxIter=3))
+    return T.train_by_segment(training_rows(spark, sf), "Tipo_Imovel", NUMERIC, "teste", T.gbt(maxIter=3), folds=5, key="imovel")
 
 
 @query("cross_validated_errors", "M6")
@@ -77,9 +79,7 @@ def _(spark, sf):
 
 @query("top_feature_importances", "M13 K2")
 def _(spark, sf):
-    train, _test = _split(spark, sf)
-    model = T.fit_price_model(train, NUMERIC, CATEGORICAL, T.gbt(maxIter=5))
-    return T.top_importances(T.feature_importance(model, train))
+    return T.top_importances(T.feature_importance(_full_model(spark, sf), _split(spark, sf)[0]))
 
 
 def _exported(spark, sf):
@@ -111,7 +111,7 @@ def _(spark, sf):
 @query("saved_artifacts_round_trip", "S12", "SELECT count(*) > 0 AS ok FROM lineitem")
 def _(spark, sf):
     train, test = _split(spark, sf)
-    model = T.fit_price_model(train, NUMERIC, CATEGORICAL, T.gbt(maxIter=2))
+    model = _full_model(spark, sf)
     path = scratch_path(spark, "artifacts")
     context = ["Latitude", "Longitude"]
     T.save_artifacts(model, X.neighbourhood_profiles(train, context), X.feature_defaults(train, context), path)

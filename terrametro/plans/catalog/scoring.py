@@ -158,12 +158,16 @@ def _(spark, sf):
     return P.resolve_neighbourhood(_asks(spark, sf), listings(spark, sf).select("Bairro").dropna())
 
 
-def _assembled(spark, sf):
-    rows = requests(spark, sf).where("area IS NOT NULL")
+def _scoring_inputs(spark, sf):
+    rows = requests(spark, sf)
     known = listings(spark, sf).select("Bairro").dropna().distinct()
     profiles = staged(X.neighbourhood_profiles(unique_staged(spark, sf), CONTEXT, minimum=rows.agg(F.floor(F.count("*") / 36).alias("m")).scalar()))
     defaults = X.feature_defaults(unique_staged(spark, sf), CONTEXT)
-    return P.assemble_features(rows, known, profiles, defaults, MODEL)
+    return rows, known, profiles, defaults
+
+
+def _assembled(spark, sf):
+    return P.assemble_features(*_scoring_inputs(spark, sf), MODEL)
 
 
 _ASSEMBLED_SQL = f"""WITH u AS ({UNIQUE_SQL}), q AS ({REQUESTS_SQL}), lim AS (SELECT floor(count(*) / 36) AS m FROM q),
@@ -220,7 +224,7 @@ def _(spark, sf):
 # An ensemble derived from part: tree t splits once on area at p_size + a fraction that
 # 32-bit rounding moves, then on rooms.
 def _nodes(spark, sf):
-    t = table(spark, sf, "part").where("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("tree"), (F.col("p_size") * 8).alias("cut"), "p_retailprice")
+    t = table(spark, sf, "part").select(F.col("p_partkey").alias("tree"), (F.col("p_size") * 8).alias("cut"), "p_retailprice")
     row = lambda node, left, right, feature, threshold, value: F.struct(
         (F.col("tree") * 5 + node).alias("node"), left.alias("left"), right.alias("right"), F.lit(feature).alias("feature"),
         threshold.alias("threshold"), value.alias("value"))
@@ -237,19 +241,38 @@ def _nodes(spark, sf):
 
 
 @query("score_flat_node_table", "M15",
-       f"""WITH t AS (SELECT p_size * 8 AS cut, p_retailprice AS p FROM part WHERE p_brand = 'Brand#7'),
+       f"""WITH t AS (SELECT p_size * 8 AS cut, p_retailprice AS p FROM part),
        q AS (SELECT DISTINCT Area_m2, Quartos FROM ({LISTINGS_BARE_SQL}) WHERE Area_m2 IS NOT NULL AND Quartos IS NOT NULL),
        s AS (SELECT Area_m2, Quartos, 1000 + 0.1 * sum(CASE WHEN Area_m2 <= cut THEN p WHEN Quartos <= 3 THEN p * 2 ELSE p * 3 END) AS v FROM q, t GROUP BY 1, 2)
        SELECT URL_Anuncio, {r('v', 'previsto', 3)} FROM ({LISTINGS_BARE_SQL}) l JOIN s ON l.Area_m2 = s.Area_m2 AND l.Quartos = s.Quartos""")
 def _(spark, sf):
     rows = listings(spark, sf, False).select(K.URL, "Area_m2", "Quartos").dropna()
-    out = P.score_node_table(rows, _nodes(spark, sf), ["Area_m2", "Quartos"], 1000.0, 0.1)
+    nodes, names = _nodes(spark, sf), ["Area_m2", "Quartos"]
+    out = P.score_each_vector_once(rows, names, lambda v: P.score_node_table(v, nodes, names, 1000.0, 0.1))
     return rounded(out.select(K.URL, "previsto"), 3)
 
 
+@query("score_requests", "M14 M15 M16 M17 C27",
+       _ASSEMBLED_SQL + """, t AS (SELECT p_size * 8 AS cut, p_retailprice AS p FROM part),
+       s AS (SELECT Area_m2, quartos, sum(CASE WHEN Area_m2 <= cut THEN p WHEN quartos <= 3 THEN p * 2 ELSE p * 3 END) AS v
+         FROM (SELECT DISTINCT Area_m2, quartos FROM a WHERE area IS NOT NULL AND quartos IS NOT NULL AND banheiros IS NOT NULL), t GROUP BY 1, 2),
+       e AS (SELECT a.*, v FROM a LEFT JOIN s ON a.area IS NOT NULL AND a.banheiros IS NOT NULL AND a.Area_m2 = s.Area_m2 AND a.quartos = s.quartos)
+       SELECT pedido, round(coalesce(v, area * 5000), 2) AS preco_estimado, CASE WHEN v IS NULL OR bairro_modelo IS NULL THEN 'baixa'
+       WHEN NOT tem_perfil OR lower(tipo) NOT IN ('apartamento', 'casa') THEN 'média' WHEN Area_m2 < 20 OR Area_m2 > 1000 THEN 'média' ELSE 'alta' END AS confianca FROM e""")
+def _(spark, sf):
+    """Every request against a node table of one tree per part."""
+    nodes, names = _nodes(spark, sf), ["Area_m2", "Quartos"]
+    rows, known, profiles, defaults = _scoring_inputs(spark, sf)
+
+    def score(df):
+        return P.score_each_vector_once(df, names, lambda v: P.score_node_table(v, nodes, names, 0.0, 1.0))
+
+    return P.score_requests(rows, known, profiles, defaults, MODEL, score).select("pedido", "preco_estimado", "confianca")
+
+
 @query("node_table_problems", "M19",
-       """SELECT p_partkey AS tree, p_partkey * 5 + 2 AS node, 'child out of range' AS regra FROM part WHERE p_brand = 'Brand#7' AND p_partkey % 3 = 0
-       UNION ALL SELECT p_partkey, p_partkey * 5 + 4, 'unreachable' FROM part WHERE p_brand = 'Brand#7' AND p_partkey % 3 = 0""")
+       """SELECT p_partkey AS tree, p_partkey * 5 + 2 AS node, 'child out of range' AS regra FROM part WHERE p_partkey % 3 = 0
+       UNION ALL SELECT p_partkey, p_partkey * 5 + 4, 'unreachable' FROM part WHERE p_partkey % 3 = 0""")
 def _(spark, sf):
     broken = F.when((F.col("tree") % 3 == 0) & (F.col("node") == F.col("tree") * 5 + 2), F.lit(-7).cast("bigint")).otherwise(F.col("right"))
     return P.node_table_problems(_nodes(spark, sf).withColumn("right", broken))
