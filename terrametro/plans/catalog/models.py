@@ -4,19 +4,53 @@ Queries that fit a model or two use the default 200 trees. Those that fit many (
 segment, fold, trial, share or feature set) use fewer; see README.
 """
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ... import constants as K
-from ...operators import features as X, scoring as P, training as T
+from ...operators import cleaning as C, features as X, scoring as P, spatial as S, training as T
 from ...sources.staging import scratch_path, staged
-from ..bindings import table
-from ..registry import query, shared
-from .cleaning import prepared
+from ..bindings import INGEST, LISTINGS_BARE_SQL, LISTINGS_SQL, POIS_SQL, listings, pois, table
+from ..registry import query, r, shared
+from .cleaning import PREPARED_SQL, prepared
+from .geography import CITY_SECTORS_SQL, METRES_SQL, SECTOR_HIT_SQL, city_sectors, with_census
 
 NUMERIC = ["Area_m2", "Quartos", "Banheiros", "Vagas_Garagem", "Latitude", "Longitude", "Densidade_Comodos"]
 CATEGORICAL = ["Tipo_Imovel", "Bairro"]
 
 
+POI = [f"poi_dist_{c}" for c in K.POI_CATEGORIES]
+CENSUS = ["populacao_setor", "renda_media_responsavel"]
+_PREPARED_ROWS_SQL = PREPARED_SQL + f"SELECT * FROM p WHERE Valor_Anuncio >= {K.PRICE_FLOOR}"
+_PLACES_SQL = f"SELECT DISTINCT Longitude AS px, Latitude AS py FROM ({LISTINGS_BARE_SQL}) WHERE Latitude IS NOT NULL"
+_NEAREST_SQL = ", ".join(f"min(CASE WHEN categoria = '{c}' THEN m END) AS poi_dist_{c}" for c in K.POI_CATEGORIES)
+_ENRICHED_SQL = f"""SELECT l.*, {", ".join(POI)}, {", ".join(CENSUS)} FROM ({LISTINGS_SQL}) l
+ LEFT JOIN (SELECT px AS wx, py AS wy, {_NEAREST_SQL} FROM (SELECT px, py, categoria, {METRES_SQL.format(x="px", y="py")} AS m
+   FROM ({_PLACES_SQL}), ({POIS_SQL}) p) GROUP BY 1, 2) w ON Longitude = wx AND Latitude = wy
+ LEFT JOIN (SELECT px AS hx, py AS hy, min(CD_SETOR) AS hs FROM ({_PLACES_SQL}), ({CITY_SECTORS_SQL}) WHERE {SECTOR_HIT_SQL} GROUP BY 1, 2) h
+   ON Longitude = hx AND Latitude = hy
+ LEFT JOIN ({CITY_SECTORS_SQL}) c ON hs = c.CD_SETOR"""
+
+
+def enriched_rows(spark, sf):
+    """The training table with nearest points and census columns, staged once."""
+
+    def build():
+        rows = S.enrich_with_pois(listings(spark, sf), pois(spark, sf), radii=())
+        rows = with_census(rows, city_sectors(spark, sf))
+        return staged(C.prepare_training_set(rows, INGEST, extra=[*POI, *CENSUS]), "enriched")
+
+    return shared(spark, sf, "enriched", build)
+
+
+@query("prepare_enriched_training_set", "F14 J1 J3 J4",
+       PREPARED_SQL.replace(f"({LISTINGS_SQL})", f"({_ENRICHED_SQL})") + f"""SELECT Valor_Anuncio, {r('Area_m2', 'Area_m2')}, Tipo_Imovel, Bairro,
+       {', '.join(r(c, c, 3) for c in [*POI, *CENSUS])} FROM p""")
+def _(spark, sf):
+    rows = enriched_rows(spark, sf)
+    return rows.select(K.TARGET, F.round("Area_m2", 4).alias("Area_m2"), "Tipo_Imovel", "Bairro", *[F.round(c, 3).alias(c) for c in [*POI, *CENSUS]])
+
+
 def training_rows(spark, sf):
     """The whole training table with its property group and split, staged once."""
     T.ensure_checkpoint_dir(spark, scratch_path(spark, "checkpoints"))
@@ -46,7 +80,7 @@ def _(spark, sf):
 @query("compare_regressors", "M8 A10")
 def _(spark, sf):
     train, test = _split(spark, sf)
-    return T.compare_models(train, test, NUMERIC, CATEGORICAL, T.candidate_models(trees=5))
+    return T.compare_models(train, test, NUMERIC, CATEGORICAL, T.candidate_models())
 
 
 @query("train_by_segment", "M9 F8 M6")
@@ -67,8 +101,15 @@ def _(spark, sf):
 
 @query("compare_feature_sets", "M11")
 def _(spark, sf):
-    sets = {"base": (NUMERIC[:4], []), "base + posicao": (NUMERIC, []), "base + posicao + bairro": (NUMERIC, CATEGORICAL)}
-    return T.compare_feature_sets(training_rows(spark, sf), sets, "teste", T.gbt(maxIter=4))
+    sets = {
+        "base": (NUMERIC[:4], []), "base + posicao": (NUMERIC, []), "base + posicao + bairro": (NUMERIC, CATEGORICAL),
+        "base + poi": (NUMERIC[:4] + POI, []), "base + censo": (NUMERIC[:4] + CENSUS, []),
+        "tudo": (NUMERIC + POI + CENSUS, CATEGORICAL),
+    }
+    rows = X.property_group(enriched_rows(spark, sf).where(F.col(K.TARGET) >= K.PRICE_FLOOR))
+    # A place outside every sector, or unknown, has no value; the median stands in.
+    rows = C.impute_medians(X.group_split(rows, "imovel"), [*POI, *CENSUS])
+    return T.compare_feature_sets(staged(rows, "feature-sets"), sets, "teste", T.gbt(maxIter=4))
 
 
 @query("learning_curve", "M12")
@@ -83,11 +124,9 @@ def _(spark, sf):
 
 
 def _exported(spark, sf):
-    train, test = _split(spark, sf)
-    model = T.fit_price_model(train, NUMERIC, (), T.gbt(maxIter=10))
-    path = scratch_path(spark, "model")
+    model, path = _full_model(spark, sf), scratch_path(spark, "model")
     model.stages[-1].write().save(path)
-    return model, T.flat_node_table(spark, path), test
+    return model, T.flat_node_table(spark, path), training_rows(spark, sf)
 
 
 @query("export_flat_node_table", "S13 M19")
@@ -95,15 +134,18 @@ def _(spark, sf):
     return _exported(spark, sf)[1]
 
 
-@query("exported_scores_agree_with_model", "M15 S13", "SELECT 0 AS divergentes, 0 AS problemas")
+@query("exported_scores_agree_with_model", "M15 S13", f"SELECT count(*) AS linhas, 0 AS divergentes, 0 AS problemas FROM ({_PREPARED_ROWS_SQL})")
 def _(spark, sf):
-    """Node-table scores against the model's own. Features are rounded to 32 bits
+    """Node-table scores against the model's own, on every training and test row. Features are rounded to 32 bits
     before both, since only the node table's rule rounds."""
-    model, nodes, test = _exported(spark, sf)
-    test = test.withColumns({c: F.col(c).cast("float").cast("double") for c in NUMERIC})
-    both = P.score_node_table(model.transform(test).withColumnRenamed("previsto", "modelo"), nodes, NUMERIC, 0.0, 1.0)
+    model, nodes, rows = _exported(spark, sf)
+    rows = rows.withColumns({c: F.col(c).cast("float").cast("double") for c in NUMERIC})
+    names = [f"f{i}" for i in range(model.stages[-1].numFeatures)]
+    vector = vector_to_array("features")
+    rows = model.transform(rows).select(F.col("previsto").alias("modelo"), *[vector[i].alias(c) for i, c in enumerate(names)])
+    both = P.score_node_table(rows, nodes, names, 0.0, 1.0)
     apart = F.abs(F.col("previsto") - F.col("modelo")) > 1e-6 * F.abs("modelo") + 0.01
-    out = both.agg(F.count_if(apart).cast("int").alias("divergentes"))
+    out = both.agg(F.count("*").alias("linhas"), F.count_if(apart).cast("int").alias("divergentes"))
     problems = P.node_table_problems(nodes).agg(F.count("*").cast("int").alias("p")).scalar()
     return out.withColumn("problemas", problems)
 
