@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrametro import constants as K
 from terrametro.functions import geo as G, numbers as N, text as T
-from terrametro.operators import cleaning as C, dedup as D, extract as X, features as FT, scoring as P, spatial as S
+from terrametro.operators import cleaning as C, dedup as D, enrich as E, extract as X, features as FT, scoring as P, spatial as S
 from terrametro.operators.quantiles import exact_quantiles
 from terrametro.operators.ranks import with_average_rank
 from terrametro.sources import readers as R, sinks as W
@@ -208,3 +208,51 @@ def test_no_local_folder_on_a_cluster():
     conf = {"spark.master": "spark://host:7077"}
     with pytest.raises(ValueError):
         shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d))))
+
+
+def test_equal_streets_are_told_apart_by_neighbourhood(spark):
+    rows = spark.createDataFrame(
+        [(1, "Rua Alfa, 1, Centro", "Centro"), (2, "Rua Alfa, 1, Ininga", "Ininga"), (3, "Rua Alfa, 9, Ininga", None), (4, "Rua Alfa, 1, Outro", None)],
+        "id int, Endereco_Completo string, Bairro string")
+    known = spark.createDataFrame(
+        [("Rua Alfa", "1", "CENTRO", -5.08, -42.80), ("Rua Alfa", "1", "ininga", -5.06, -42.79)],
+        "street string, number string, area string, lat double, lon double")
+    cache = spark.createDataFrame([], "address string, lat double, lon double, precision string")
+    got = {r["id"]: (r["Latitude"], r["geo_precision"]) for r in E.geocode_addresses(rows, cache, known).collect()}
+    assert got == {1: (-5.08, "rua_numero"), 2: (-5.06, "rua_numero"), 3: (-5.06, "rua"), 4: (-5.08, "rua_numero")}
+
+
+def test_nearest_point_is_found_at_any_distance(spark):
+    rows = spark.createDataFrame([(1, -5.09, -42.80), (2, 80.0, 170.0)], "id int, Latitude double, Longitude double")
+    points = spark.createDataFrame([("escolas", 9.91, -42.80)], "categoria string, lat double, lon double")
+    for radii in ((10,), K.POI_RADII_M):
+        got = {r["id"]: r["poi_dist_escolas"] for r in S.enrich_with_pois(rows, points, radii=radii).collect()}
+        assert got[1] == pytest.approx(15 * 111_320) and got[2] > 2e7
+
+
+def test_keys_never_read_alike_and_marks_fold_in_every_script(spark):
+    rows = spark.createDataFrame([(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "x"), (4, "\\N", "x"), (5, "-", "x"), (6, "a|b", "c")], "id int, a string, b string")
+    keys = {r["id"]: r["imovel"] for r in FT.property_group(rows, ["a", "b"]).collect()}
+    assert len(set(keys.values())) == 5 and keys[1] == keys[6]
+    assert one(spark, T.folded(F.col("t")), t="  ЙОД Ñandú ") == "иод nandu"
+
+
+def test_requests_are_scored_end_to_end(spark):
+    asked = spark.createDataFrame(
+        [(1, 50.0, 2, 1, "casa", "CENTRO"), (2, None, 2, 1, "casa", "Centro"), (3, 50.0, 2, 1, "sala", "Centro"), (4, 0.5, 2, 1, "casa", "Lugar Nenhum")],
+        "id int, area double, quartos int, banheiros int, tipo string, bairro string")
+    known = spark.createDataFrame([("Centro",)], "Bairro string")
+    profiles = spark.createDataFrame([("Centro", "Latitude", -5.0)], "Bairro string, atributo string, mediana double")
+    defaults = spark.createDataFrame([("Latitude", -5.1)], "atributo string, mediana double")
+    out = P.score_requests(asked, known, profiles, defaults, ["Area_m2", "Quartos", "Latitude"], lambda df: df.withColumn("previsto", F.col("Area_m2") * 100))
+    got = {r["id"]: (r["preco_estimado"], r["confianca"]) for r in out.collect()}
+    assert got == {1: (5000.0, "alta"), 2: (None, "baixa"), 3: (5000.0, "média"), 4: (100.0, "baixa")}
+
+
+def test_unknown_areas_leave_the_training_set(spark):
+    cols = "Valor_Anuncio double, Area_m2 double, Quartos int, Banheiros int, Vagas_Garagem int, Latitude double, Longitude double, Tipo_Negocio string, Tipo_Imovel string, Bairro string, extra double"
+    row = (100_000.0, None, 1, 1, 1, -5.0, -42.0, "Venda", "Casa", "Centro", 7.0)
+    assert C.prepare_training_set(spark.createDataFrame([row] * 3, cols), ["Valor_Anuncio"]).count() == 0
+    known = spark.createDataFrame([row, (90_000.0, 30.0, *row[2:])], cols)
+    out = C.prepare_training_set(known, ["Valor_Anuncio"], extra=["extra", "missing"]).collect()
+    assert {r["Area_m2"] for r in out} == {30.0} and {r["extra"] for r in out} == {7.0}
