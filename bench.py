@@ -20,8 +20,6 @@ HEADLINE = [
     "impute_by_neighbourhood_mean",
     "prepare_training_set",
     "census_features_by_position",
-    "nearest_poi_per_category",
-    "pois_within_radii",
     "price_index_enrichment",
     "regression_metrics",
     "metrics_by_price_band",
