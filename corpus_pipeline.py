@@ -26,12 +26,8 @@ def drop_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of texts linked over shingles of five words at an estimated similarity of 0.8, the smallest id stays.
-
-    A similarity s of shingle multisets turns acos(2s / (1 + s)) / pi of the SimHash bits:
-    19.4 of 128 at 0.8. Pairs are sought within 9 of 64 bits in either of two fingerprints.
-    """
-    found = simhash.simhash_groups(docs, words=5, max_bits=9, confirm_bits=20)
+    """Of texts linked at a similarity of 0.8 or more of their shingles of five words, the smallest id stays."""
+    found = simhash.near_copies(docs, words=5, similarity=0.8)
     return without_ids(docs, found.where("doc_id <> component_id"))
 
 

@@ -99,12 +99,55 @@ def test_groups_over_texts(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_confirmed_groups_of_similar_texts(spark):
+def test_near_copies_are_those_of_the_asked_similarity(spark, monkeypatch):
     rnd = random.Random(4)
-    words = [f"w{rnd.randrange(5000)}" for _ in range(500)]
-    close = list(words)
-    close[100], close[300] = "changed", "too"
-    far = [w if rnd.random() < 0.8 else "x" + w for w in words]
-    rows = [(i, " ".join(t), "", 0) for i, t in enumerate((words, close, far))]
-    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, DOCS), words=5, max_bits=9, confirm_bits=20).collect()}
-    assert got == {0: 0, 1: 0, 2: 2}
+    rows, sets = [], {}
+    for family in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        for copy in range(6):
+            words = list(base)
+            for at in rnd.sample(range(300), rnd.choice([0, 1, 3, 5, 6, 7, 8, 12, 30])):
+                words[at] = f"x{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "", 0))
+    rows += [(500, None, "", 0), (501, "", "", 0), (501, "", "", 0), (None, rows[0][1], "", 0), (502, "two words", "", 0)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t, *_ in rows if i is not None and t and len(t.split()) > 4}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                one, two = sorted((find(a), find(b)))
+                root[two] = one
+    for block in (2048, 8):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+        assert got == {**{i: find(i) for i in sets}, 500: 500, 501: 500, 502: 502}
+    assert simhash.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_nearest_forest_connects_at_every_distance():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for same in (True, False):
+        n, m = (40, 40) if same else (30, 25)
+        apart = rnd.integers(9, 40, (n, m)).astype(np.uint8)
+        if same:
+            apart = np.minimum(apart, apart.T)
+        wanted = apart <= 25
+        if same:
+            np.fill_diagonal(wanted, False)
+        i, j = simhash._nearest_forest(apart, wanted, same)
+        assert wanted[i, j].all()
+        for d in (10, 12, 20, 25):
+            full = np.nonzero(wanted & (apart <= d))
+            few = apart[i, j] <= d
+            shift, size = (0, n) if same else (n, n + m)
+            one = simhash._local_classes(size, full[0], full[1] + shift)
+            two = simhash._local_classes(size, i[few], j[few] + shift)
+            assert len(set(zip(one, two))) == len(set(one)) == len(set(two))
