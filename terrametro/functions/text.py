@@ -178,3 +178,16 @@ def street_matches(asked: Column, found: Column, threshold: float, exact_blocks:
     similarity = block_similarity if exact_blocks else edit_similarity
     score = similarity(folded(asked), folded(found))
     return F.coalesce((found != "") & (score >= threshold), F.lit(False))
+
+
+def letters_in_common(left: Column, right: Column) -> Column:
+    """2 x common letters / letters of both, repeats counted: no block ratio is higher.
+    Both sides empty gives 1."""
+
+    def times(text, letter):
+        return F.length(text) - F.length(F.replace(text, letter))
+
+    letters = F.array_distinct(F.filter(F.split(left, ""), lambda c: c != ""))
+    common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(times(left, c), times(right, c)))
+    both = F.length(left) + F.length(right)
+    return F.when(both > 0, 2.0 * common / both).otherwise(1.0)

@@ -290,10 +290,16 @@ def price_per_m2_spread(df: DataFrame, group: str) -> DataFrame:
 
 def heuristic_baselines(df: DataFrame, group: str) -> DataFrame:
     """Metrics of three rules: median price, area x R$/m2, area x group R$/m2."""
-    overall = exact_quantiles(df, K.TARGET, {"m": 0.5}).select("m").scalar()
-    overall_m2 = median_price_per_m2(df).select("preco_m2_mediano").scalar()
-    by_group = median_price_per_m2(df, [group]).select(group, F.col("preco_m2_mediano").alias("_g_m2"))
-    rows = attach(df.select(K.TARGET, "Area_m2", group), by_group, [group])
+    rows = staged(df.select(K.TARGET, "Area_m2", group), "baselines")  # read for the medians, then scored
+    everyone = F.lit(None).cast(rows.schema[group].dataType)
+    kinds = [("preco", everyone, F.col(K.TARGET)), ("m2", everyone, F.col("_m2")), ("m2 do grupo", F.col(group), F.col("_m2"))]
+    cells = F.array(*[F.struct(F.lit(k).alias("_kind"), g.alias("_g"), v.cast("double").alias("_x")) for k, g, v in kinds])
+    # The three rules' medians come from one run.
+    medians = exact_quantiles(price_per_m2(rows).select(F.inline(cells)), "_x", {"m": 0.5}, ["_kind", "_g"])
+    medians = staged(medians.select("_kind", "_g", "m"), "medians")
+    overall, overall_m2 = (medians.where(F.col("_kind") == k).select("m").scalar() for k in ("preco", "m2"))
+    by_group = medians.where(F.col("_kind") == "m2 do grupo").select(F.col("_g").alias(group), F.col("m").alias("_g_m2"))
+    rows = attach(rows, by_group, [group])
     rules = F.array(
         F.struct(F.lit("mediana global").alias("regra"), overall.alias("previsto")),
         F.struct(F.lit("area x m2 global").alias("regra"), (F.col("Area_m2") * overall_m2).alias("previsto")),

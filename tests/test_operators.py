@@ -256,3 +256,10 @@ def test_unknown_areas_leave_the_training_set(spark):
     known = spark.createDataFrame([row, (90_000.0, 30.0, *row[2:])], cols)
     out = C.prepare_training_set(known, ["Valor_Anuncio"], extra=["extra", "missing"]).collect()
     assert {r["Area_m2"] for r in out} == {30.0} and {r["extra"] for r in out} == {7.0}
+
+
+def test_letters_in_common_bound_the_block_ratio(spark):
+    pairs = [("rua joao pereira", "rua joao perreira"), ("abc", "cba"), ("", ""), ("", "a"), ("aab", "abb"), ("rua $1", "rua .")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.letters_in_common(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in rows:
+        assert r.r == pytest.approx(difflib.SequenceMatcher(None, r.a, r.b).quick_ratio())
