@@ -24,6 +24,8 @@ from .components import components
 BITS = 64
 #: Fingerprints of one bucket that are compared in one block; larger buckets are cut into blocks.
 BLOCK = 2048
+#: Nearest candidates of a fingerprint that a crowded block gives in the first round; eight times as many in each later one.
+NEAREST = 4
 #: Relative costs of filing a fingerprint in one bucket and of comparing one pair.
 FILE_COST, COMPARE_COST = 1.0, 0.004
 _CHUNK = 1 << 15
@@ -240,83 +242,126 @@ def _local_classes(size: int, a, b) -> np.ndarray:
     return np.array([find(x) for x in range(size)])
 
 
-def links(fps: DataFrame, max_bits: int = 4, loose_bits: int | None = None, sure_bits: int = 8) -> DataFrame:
-    """fps(node, fp, fp2), distinct -> (a, b, sure): node pairs that connect all that linked pairs connect.
+def _nearest(apart: np.ndarray, wanted: np.ndarray, each: int) -> np.ndarray:
+    """The wanted pairs that are among the nearest of one of their two."""
+    cost, keep = np.where(wanted, apart, np.uint8(255)), np.zeros(wanted.shape, bool)
+    for axis in (0, 1):
+        if each >= cost.shape[axis]:
+            return wanted
+        first = np.take(np.argpartition(cost, each - 1, axis=axis), np.arange(each), axis=axis)
+        np.put_along_axis(keep, first, True, axis=axis)
+    return keep & wanted
 
-    Without loose_bits a pair is linked, and sure, if fp differs in at most max_bits. With it, both
-    fingerprints are probed at max_bits; pairs whose 128 bits differ in at most sure_bits
-    are sure, those up to loose_bits are to be confirmed on the texts. The latter are left out
-    where sure pairs of their block connect them already; where a block has very many,
-    a forest of the nearest stands for them.
-    """
-    tables, keys = (["fp"] if loose_bits is None else ["fp", "fp2"]), []
-    for column in tables:
+
+def filed(fps: DataFrame, columns: list[str], max_bits: int) -> DataFrame:
+    """fps(node, fp, fp2), distinct -> (k, v, x, y, own, node, fp, fp2): the cells in which all pairs within max_bits of a column meet."""
+    keys = []
+    for column in columns:
         masks = plan_masks(*bit_statistics(fps, column), max_bits)
         for m in masks:
             value = F.col(column).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint"))
             keys.append(F.struct(F.lit(len(keys)).alias("k"), value.alias("v")))
-    filed = fps.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key")).select("key.k", "key.v", "node", "fp", "fp2")
+    rows = fps.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key")).select("key.k", "key.v", "node", "fp", "fp2")
     # Buckets beyond a block are cut into blocks; every pair of blocks meets in one cell.
-    sizes = filed.groupBy("k", "v").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    sizes = rows.groupBy("k", "v").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     blocks = small(staged(sizes.select("k", "v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "crowded"))
     own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
-    dealt = filed.join(blocks, ["k", "v"], "left").withColumn("own", own)
+    dealt = rows.join(blocks, ["k", "v"], "left").withColumn("own", own)
     others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-    cells = dealt.withColumn("other", others).select(
+    return dealt.withColumn("other", others).select(
         "k", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "fp", "fp2"
     )
+
+
+def _in_cells(cells: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(left, right, same) over the rows of each cell's two blocks, as int64 columns of cells in order."""
     cells = cells.repartition("k", "v", "x", "y").sortWithinPartitions("k", "v", "x", "y", "own")
 
     def run(batches):
         held = None
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(8)], axis=1)
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(batch.num_columns)], axis=1)
             rows = rows if held is None else np.concatenate([held, rows])
             cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
             edges = [0, *cuts.tolist()]
             held = rows[edges[-1] :]
-            yield from compare(rows, edges)
+            yield from met(rows, edges)
         if held is not None:
-            yield from compare(held, [0, len(held)])
-
-    def pairs(p, q, same):
-        apart = np.bitwise_count(p[:, None, 0] ^ q[None, :, 0])
-        if loose_bits is None:
-            yield True, _spanning(apart <= max_bits, same)
-            return
-        apart += np.bitwise_count(p[:, None, 1] ^ q[None, :, 1])
-        i, j = _spanning(apart <= sure_bits, same)
-        yield True, (i, j)
-        wanted = (apart <= loose_bits) & (apart > sure_bits)
-        if not wanted.any():
-            return
-        if len(i):
-            n = len(p)
-            known = _local_classes(n if same else n + len(q), i, j if same else j + n)
-            wanted &= known[:n, None] != (known if same else known[n:])[None, :]
-        if wanted.sum() // (2 if same else 1) > 4 * sum(wanted.shape):
-            yield False, _nearest_forest(apart, wanted, same)
-        else:
-            yield False, np.nonzero(np.triu(wanted, 1) if same else wanted)
+            yield from met(held, [0, len(held)])
 
-    def compare(rows, edges):
-        a, b, sure = [], [], []
+    def met(rows, edges):
+        found = []
         for i, j in zip(edges[:-1], edges[1:]):
             if j - i > 1:
                 cell = rows[i:j]
-                prints = np.ascontiguousarray(cell[:, 6:]).view(np.uint64)
                 same = cell[0, 2] == cell[0, 3]
                 left = np.ones(j - i, bool) if same else cell[:, 4] == cell[0, 2]
-                right = left if same else ~left
-                for certain, found in pairs(prints[left], prints[right], same):
-                    a.append(cell[left, 5][found[0]])
-                    b.append(cell[right, 5][found[1]])
-                    sure.append(np.full(len(found[0]), certain))
-        if a:
-            out = {"a": np.concatenate(a), "b": np.concatenate(b), "sure": np.concatenate(sure)}
-            yield pa.RecordBatch.from_pydict(out)
+                found += compare(cell[left], cell[left if same else ~left], same)
+        if found:
+            yield pa.Table.from_batches(found).combine_chunks().to_batches()[0] if len(found) > 1 else found[0]
+
+    return cells.mapInArrow(run, schema)
+
+
+def _apart(p: np.ndarray, q: np.ndarray, column: int) -> np.ndarray:
+    return np.bitwise_count(p[:, None, column].view(np.uint64) ^ q[None, :, column].view(np.uint64))
+
+
+def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """fps(node, fp, fp2), distinct -> (a, b): pairs that connect all that pairs within max_bits of fp connect."""
+
+    def compare(p, q, same):
+        i, j = _spanning(_apart(p, q, 6) <= max_bits, same)
+        return [pa.RecordBatch.from_pydict({"a": p[i, 5], "b": q[j, 5]})] if len(i) else []
+
+    return _in_cells(filed(fps, ["fp"], max_bits), compare, "a bigint, b bigint")
 
-    return cells.mapInArrow(run, "a bigint, b bigint, sure boolean")
+
+_CELL = ["k", "v", "x", "y", "own", "node", "fp", "fp2"]
+
+
+def candidates(cells: DataFrame, each: int, loose_bits: int, sure_bits: int) -> DataFrame:
+    """cells of filed() with root, the class of the node -> rows of two kinds.
+
+    (a, b, sure): pairs of different classes that differ in at most loose_bits of both fingerprints;
+    those up to sure_bits are sure. A cell with very many gives its forest of the nearest and the
+    `each` nearest of every node. If that leaves pairs out, the nodes of those are given
+    again as rows of the cell, to be asked once classes are known.
+    """
+    none = pa.nulls
+
+    def compare(p, q, same):
+        apart = _apart(p, q, 6) + _apart(p, q, 7)
+        other = p[:, None, 8] != q[None, :, 8]
+        i, j = _spanning((apart <= sure_bits) & other, same)
+        wanted, sure, out = (apart <= loose_bits) & (apart > sure_bits) & other, (i, j), []
+        if len(i) and wanted.any():
+            n = len(p)
+            known = _local_classes(n if same else n + len(q), i, j if same else j + n)
+            wanted &= known[:n, None] != (known if same else known[n:])[None, :]
+        left = np.zeros_like(wanted)
+        if wanted.sum() // (2 if same else 1) > 4 * sum(wanted.shape):
+            given = _nearest(apart, wanted, each)
+            a, b = _nearest_forest(apart, wanted, same)
+            given[a, b] = True
+            if same:
+                given |= given.T
+            left = wanted & ~given
+        else:
+            given = wanted
+        for certain, (i, j) in ((True, sure), (False, np.nonzero(np.triu(given, 1) if same else given))):
+            if len(i):
+                a, b = np.minimum(p[i, 5], q[j, 5]), np.maximum(p[i, 5], q[j, 5])
+                cell = {c: none(len(i), pa.int64()) for c in _CELL}
+                out.append(pa.RecordBatch.from_pydict({"a": a, "b": b, "sure": np.full(len(i), certain), **cell}))
+        if left.any():
+            rows = p[left.any(axis=1)] if same else np.concatenate([p[left.any(axis=1)], q[left.any(axis=0)]])
+            pair = {"a": none(len(rows), pa.int64()), "b": none(len(rows), pa.int64()), "sure": none(len(rows), pa.bool_())}
+            out.append(pa.RecordBatch.from_pydict({**pair, **{c: rows[:, k].copy() for k, c in enumerate(_CELL)}}))
+        return out
+
+    schema = "a bigint, b bigint, sure boolean, " + ", ".join(f"{c} bigint" for c in _CELL)
+    return _in_cells(cells.select(*_CELL, "root"), compare, schema)
 
 
 def shingle_sets(docs: DataFrame, text_column: str, words: int) -> DataFrame:
@@ -368,6 +413,8 @@ def near_copies(
     similarity s differ in acos(2s / (1 + s)) / pi of the 128 bits: 19.4 at 0.8, with a
     deviation of 4.1, so loose_bits lies 2.6 deviations above. Candidates are compared
     on their whole shingle sets, but for those within sure_bits (an expected similarity of 0.94).
+    Where they are very many, the nearest come first; those that still join different
+    classes follow in rounds, until none is left.
 
     Rows without an id take no part. Missing, empty and blank texts are linked with each
     other. Repeated rows are answered alike. An empty table gives no rows.
@@ -375,21 +422,41 @@ def near_copies(
     docs = docs.where(F.col(id_column).isNotNull())
     hashed = staged(fingerprints(docs, id_column, text_column, words, True), "fingerprints")
     distinct = staged(hashed.groupBy("fp", "fp2").agg(F.min("id").alias("low")).withColumn("node", F.xxhash64("fp", "fp2")), "distinct")
-    found = staged(links(distinct.select("node", "fp", "fp2"), max_bits, loose_bits, sure_bits), "candidates")
-    sure = found.where("sure").select("a", "b").distinct()
-    first = staged(components(sure), "classes")
-    # What sure links connect needs no look at the texts.
-    pairs = found.where("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cells = filed(distinct.select("node", "fp", "fp2"), ["fp", "fp2"], max_bits).withColumn("root", F.col("node"))
+    sets = linked = tested = None
+    each = NEAREST
+    while True:
+        found = staged(candidates(cells, each, loose_bits, sure_bits), "candidates")
+        sure = found.where("sure").select("a", "b").distinct()
+        linked = sure if linked is None else linked.union(sure)
+        # What sure links connect needs no look at the texts.
+        pairs = found.where("NOT sure").select("a", "b").distinct()
+        pairs = _apart_in(pairs, staged(components(linked), "classes"))
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        if sets is None:
+            # Later rounds ask only for nodes that have a pair in the first.
+            nodes = found.where("NOT sure").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            ids = small(staged(distinct.join(nodes, "node").select(F.col("low").alias("wanted")), "wanted"))
+            texts = docs.join(ids, docs[id_column] == ids["wanted"], "left_semi")
+            sets = staged(shingle_sets(texts, text_column, words), "shingles")
+        linked = linked.union(staged(confirmed(pairs, sets, similarity), "confirmed"))
+        roots = staged(components(linked), "roots")
+        left = found.where("node IS NOT NULL").select(*_CELL)
+        if left.isEmpty():
+            break
+        known = roots.withColumnRenamed("node", "linked")
+        cells = left.join(known, F.col("node") == F.col("linked"), "left").select(*_CELL, F.coalesce("root", "node").alias("root"))
+        each *= 8
+    return _named(hashed, distinct, roots).select(F.col("id").alias(id_column), "component_id")
+
+
+def _apart_in(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that classes(node, root) don't connect."""
     for side in ("a", "b"):
-        known = first.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        known = classes.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
         pairs = pairs.join(known, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    pairs = staged(pairs.where("a_root <> b_root").select("a", "b"), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = small(staged(distinct.join(nodes, "node").select(F.col("low").alias("wanted")), "wanted"))
-    texts = docs.join(ids, docs[id_column] == ids["wanted"], "left_semi")
-    sets = staged(shingle_sets(texts, text_column, words), "shingles")
-    roots = staged(components(sure.union(confirmed(pairs, sets, similarity))), "roots")
-    return _named(hashed, distinct, roots).select(F.col("id").alias(id_column), "component_id")
+    return pairs.where("a_root <> b_root").select("a", "b")
 
 
 def _named(hashed: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:

@@ -151,3 +151,39 @@ def test_nearest_forest_connects_at_every_distance():
             one = simhash._local_classes(size, full[0], full[1] + shift)
             two = simhash._local_classes(size, i[few], j[few] + shift)
             assert len(set(zip(one, two))) == len(set(one)) == len(set(two))
+
+
+def similar(rows, words=5, similarity=0.8):
+    """Smallest id of every text's class, all pairs compared on their shingles."""
+    sets = {i: {tuple(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and find(a) != find(b) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                one, two = sorted((find(a), find(b)))
+                root[two] = one
+    return {i: find(i) for i in sets}
+
+
+def family(seed, size=200, length=200, edits=3):
+    rnd = random.Random(seed)
+    base, rows = [f"w{rnd.randrange(5000)}" for _ in range(length)], []
+    for i in range(size):
+        words = list(base)
+        for at in rnd.sample(range(length), edits):
+            words[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_large_families_keep_all_links(spark):
+    """Blocks with very many candidates lose none of them."""
+    rows = family(2)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == similar(rows)
