@@ -320,25 +320,19 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 _CELL = ["k", "v", "x", "y", "own", "node", "fp", "fp2"]
 
 
-def candidates(cells: DataFrame, each: int, loose_bits: int, sure_bits: int) -> DataFrame:
+def candidates(cells: DataFrame, each: int, loose_bits: int) -> DataFrame:
     """cells of filed() with root, the class of the node -> rows of two kinds.
 
-    (a, b, sure): pairs of different classes that differ in at most loose_bits of both fingerprints;
-    those up to sure_bits are sure. A cell with very many gives its forest of the nearest and the
-    `each` nearest of every node. If that leaves pairs out, the nodes of those are given
-    again as rows of the cell, to be asked once classes are known.
+    (a, b): pairs of different classes that differ in at most loose_bits of both fingerprints.
+    A cell with very many gives its forest of the nearest and the `each` nearest of every
+    node. If that leaves pairs out, the nodes of those are given again as rows of the cell,
+    to be asked once classes are known.
     """
     none = pa.nulls
 
     def compare(p, q, same):
         apart = _apart(p, q, 6) + _apart(p, q, 7)
-        other = p[:, None, 8] != q[None, :, 8]
-        i, j = _spanning((apart <= sure_bits) & other, same)
-        wanted, sure, out = (apart <= loose_bits) & (apart > sure_bits) & other, (i, j), []
-        if len(i) and wanted.any():
-            n = len(p)
-            known = _local_classes(n if same else n + len(q), i, j if same else j + n)
-            wanted &= known[:n, None] != (known if same else known[n:])[None, :]
+        wanted, out = (apart <= loose_bits) & (p[:, None, 8] != q[None, :, 8]), []
         left = np.zeros_like(wanted)
         if wanted.sum() // (2 if same else 1) > 4 * sum(wanted.shape):
             given = _nearest(apart, wanted, each)
@@ -349,18 +343,17 @@ def candidates(cells: DataFrame, each: int, loose_bits: int, sure_bits: int) ->
             left = wanted & ~given
         else:
             given = wanted
-        for certain, (i, j) in ((True, sure), (False, np.nonzero(np.triu(given, 1) if same else given))):
-            if len(i):
-                a, b = np.minimum(p[i, 5], q[j, 5]), np.maximum(p[i, 5], q[j, 5])
-                cell = {c: none(len(i), pa.int64()) for c in _CELL}
-                out.append(pa.RecordBatch.from_pydict({"a": a, "b": b, "sure": np.full(len(i), certain), **cell}))
+        i, j = np.nonzero(np.triu(given, 1) if same else given)
+        if len(i):
+            a, b = np.minimum(p[i, 5], q[j, 5]), np.maximum(p[i, 5], q[j, 5])
+            out.append(pa.RecordBatch.from_pydict({"a": a, "b": b, **{c: none(len(i), pa.int64()) for c in _CELL}}))
         if left.any():
             rows = p[left.any(axis=1)] if same else np.concatenate([p[left.any(axis=1)], q[left.any(axis=0)]])
-            pair = {"a": none(len(rows), pa.int64()), "b": none(len(rows), pa.int64()), "sure": none(len(rows), pa.bool_())}
+            pair = {"a": none(len(rows), pa.int64()), "b": none(len(rows), pa.int64())}
             out.append(pa.RecordBatch.from_pydict({**pair, **{c: rows[:, k].copy() for k, c in enumerate(_CELL)}}))
         return out
 
-    schema = "a bigint, b bigint, sure boolean, " + ", ".join(f"{c} bigint" for c in _CELL)
+    schema = "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in _CELL)
     return _in_cells(cells.select(*_CELL, "root"), compare, schema)
 
 
@@ -404,17 +397,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def near_copies(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 9, loose_bits: int = 30, sure_bits: int = 8,
+    max_bits: int = 9, loose_bits: int = 30,
 ) -> DataFrame:
     """One row per input row with an id: id, component_id (smallest id reachable over links).
 
     Texts are linked at this Jaccard similarity of their sets of word shingles. Candidates come from
     two fingerprints over distinct shingles, probed at max_bits. Sets of Jaccard
     similarity s differ in acos(2s / (1 + s)) / pi of the 128 bits: 19.4 at 0.8, with a
-    deviation of 4.1, so loose_bits lies 2.6 deviations above. Candidates are compared
-    on their whole shingle sets, but for those within sure_bits (an expected similarity of 0.94).
-    Where they are very many, the nearest come first; those that still join different
-    classes follow in rounds, until none is left.
+    deviation of 4.1, so loose_bits lies 2.6 deviations above. Every link is confirmed on
+    the whole shingle sets. Where candidates are very many, the nearest come first; those
+    that still join different classes follow in rounds, until none is left.
 
     Rows without an id take no part. Missing, empty and blank texts are linked with each
     other. Repeated rows are answered alike. An empty table gives no rows.
@@ -426,21 +418,18 @@ def near_copies(
     sets = linked = tested = None
     each = NEAREST
     while True:
-        found = staged(candidates(cells, each, loose_bits, sure_bits), "candidates")
-        sure = found.where("sure").select("a", "b").distinct()
-        linked = sure if linked is None else linked.union(sure)
-        # What sure links connect needs no look at the texts.
-        pairs = found.where("NOT sure").select("a", "b").distinct()
-        pairs = _apart_in(pairs, staged(components(linked), "classes"))
+        found = staged(candidates(cells, each, loose_bits), "candidates")
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         if sets is None:
             # Later rounds ask only for nodes that have a pair in the first.
-            nodes = found.where("NOT sure").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             ids = small(staged(distinct.join(nodes, "node").select(F.col("low").alias("wanted")), "wanted"))
             texts = docs.join(ids, docs[id_column] == ids["wanted"], "left_semi")
             sets = staged(shingle_sets(texts, text_column, words), "shingles")
-        linked = linked.union(staged(confirmed(pairs, sets, similarity), "confirmed"))
+        more = staged(confirmed(pairs, sets, similarity), "confirmed")
+        linked = more if linked is None else linked.union(more)
         roots = staged(components(linked), "roots")
         left = found.where("node IS NOT NULL").select(*_CELL)
         if left.isEmpty():
@@ -451,14 +440,6 @@ def near_copies(
     return _named(hashed, distinct, roots).select(F.col("id").alias(id_column), "component_id")
 
 
-def _apart_in(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that classes(node, root) don't connect."""
-    for side in ("a", "b"):
-        known = classes.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        pairs = pairs.join(known, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    return pairs.where("a_root <> b_root").select("a", "b")
-
-
 def _named(hashed: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """hashed with the smallest id of each component of nodes."""
     linked = roots.withColumnRenamed("node", "linked")

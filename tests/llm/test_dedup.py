@@ -187,3 +187,16 @@ def test_large_families_keep_all_links(spark):
     rows = family(2)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == similar(rows)
+
+
+def test_nearest_fingerprints_are_confirmed_too(spark):
+    """Of pairs below the similarity some differ in 8 of 128 bits only."""
+    for seed in range(20000):
+        rows = family(seed, 2, 88, 1)
+        a, b = (simhash.fingerprint_pair(t.encode(), 5) for _, t in rows)
+        if sum((x ^ y).bit_count() for x, y in zip(a, b)) <= 8 and len(set(similar(rows).values())) == 2:
+            break
+    else:
+        raise AssertionError("no such pair")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1}
