@@ -253,13 +253,15 @@ def _nearest(apart: np.ndarray, wanted: np.ndarray, each: int) -> np.ndarray:
     return keep & wanted
 
 
-def filed(fps: DataFrame, columns: list[str], max_bits: int) -> DataFrame:
-    """fps(node, fp, fp2), distinct -> (k, v, x, y, own, node, fp, fp2): the cells in which all pairs within max_bits of a column meet."""
-    keys = []
+def filed(fps: DataFrame, columns: list[str], max_bits: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """fps(node, fp, fp2), distinct -> (k, v, x, y, own, node, fp, fp2): the cells in which all
+    pairs within max_bits of a column meet; and column and mask of every k."""
+    keys, masked = [], []
     for column in columns:
         masks = plan_masks(*bit_statistics(fps, column), max_bits)
         for m in masks:
-            value = F.col(column).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint"))
+            masked.append((column, m - (1 << 64) if m >> 63 else m))
+            value = F.col(column).bitwiseAND(F.lit(masked[-1][1]).cast("bigint"))
             keys.append(F.struct(F.lit(len(keys)).alias("k"), value.alias("v")))
     rows = fps.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key")).select("key.k", "key.v", "node", "fp", "fp2")
     # Buckets beyond a block are cut into blocks; every pair of blocks meets in one cell.
@@ -270,7 +272,7 @@ def filed(fps: DataFrame, columns: list[str], max_bits: int) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     return dealt.withColumn("other", others).select(
         "k", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "fp", "fp2"
-    )
+    ), masked
 
 
 def _in_cells(cells: DataFrame, compare, schema: str) -> DataFrame:
@@ -314,16 +316,17 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         i, j = _spanning(_apart(p, q, 6) <= max_bits, same)
         return [pa.RecordBatch.from_pydict({"a": p[i, 5], "b": q[j, 5]})] if len(i) else []
 
-    return _in_cells(filed(fps, ["fp"], max_bits), compare, "a bigint, b bigint")
+    return _in_cells(filed(fps, ["fp"], max_bits)[0], compare, "a bigint, b bigint")
 
 
 _CELL = ["k", "v", "x", "y", "own", "node", "fp", "fp2"]
 
 
-def candidates(cells: DataFrame, each: int, loose_bits: int) -> DataFrame:
+def candidates(cells: DataFrame, masked: list[tuple[str, int]], each: int, loose_bits: int) -> DataFrame:
     """cells of filed() with root, the class of the node -> rows of two kinds.
 
-    (a, b): pairs of different classes that differ in at most loose_bits of both fingerprints.
+    (a, b): pairs of different classes that differ in at most loose_bits of both fingerprints,
+    each given by the first k in which its two meet.
     A cell with very many gives its forest of the nearest and the `each` nearest of every
     node. If that leaves pairs out, the nodes of those are given again as rows of the cell,
     to be asked once classes are known.
@@ -333,6 +336,12 @@ def candidates(cells: DataFrame, each: int, loose_bits: int) -> DataFrame:
     def compare(p, q, same):
         apart = _apart(p, q, 6) + _apart(p, q, 7)
         wanted, out = (apart <= loose_bits) & (p[:, None, 8] != q[None, :, 8]), []
+        i, j = np.nonzero(wanted)
+        if len(i):
+            differ, met = {"fp": p[i, 6] ^ q[j, 6], "fp2": p[i, 7] ^ q[j, 7]}, np.zeros(len(i), bool)
+            for column, m in masked[: p[0, 0]]:
+                met |= (differ[column] & m) == 0
+            wanted[i[met], j[met]] = False
         left = np.zeros_like(wanted)
         if wanted.sum() // (2 if same else 1) > 4 * sum(wanted.shape):
             given = _nearest(apart, wanted, each)
@@ -414,11 +423,12 @@ def near_copies(
     docs = docs.where(F.col(id_column).isNotNull())
     hashed = staged(fingerprints(docs, id_column, text_column, words, True), "fingerprints")
     distinct = staged(hashed.groupBy("fp", "fp2").agg(F.min("id").alias("low")).withColumn("node", F.xxhash64("fp", "fp2")), "distinct")
-    cells = filed(distinct.select("node", "fp", "fp2"), ["fp", "fp2"], max_bits).withColumn("root", F.col("node"))
+    cells, masked = filed(distinct.select("node", "fp", "fp2"), ["fp", "fp2"], max_bits)
+    cells = cells.withColumn("root", F.col("node"))
     sets = linked = tested = None
     each = NEAREST
     while True:
-        found = staged(candidates(cells, each, loose_bits), "candidates")
+        found = staged(candidates(cells, masked, each, loose_bits), "candidates")
         pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
