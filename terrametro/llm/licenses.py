@@ -1,7 +1,10 @@
-"""Licences of files: statements matched to templates, then inherited from the nearest directory.
+"""Licences of files: headers and statements matched to templates, then inherited from the nearest directory.
 
-A statement is a sentence or line that speaks of a licence. Its sparse TF-IDF vector is compared
-with those of the templates by cosine; a file has the licence of its best statement. A file
+The text of a file, lines joined and comment marks removed, is compared with whole headers and
+licence texts wherever it shares a pair of licence words with one, over the template's length,
+by the cosine of sparse TF-IDF vectors. An SPDX line names its licence. A statement is a sentence
+or line that speaks of a licence, compared with one-line templates. A file has the licence of
+its best header, without one of its best statement. A file
 without one takes that of the licence file in the nearest directory above it.
 """
 
@@ -9,9 +12,12 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.staging import staged
+
 # Licence identifiers and the public wording of their notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -34,28 +40,80 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "Copyright, all rights reserved"),
 ]
+_GNU = (
+    "free software; you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation; either "
+    "version {1} of the License, or (at your option) any later version. This {2} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. "
+    "You should have received a copy of the GNU {0} along with this {2}"
+)
+_GNU_TEXT = (
+    "GNU {0} Version {1} Copyright (C) {2} Free Software Foundation, Inc. "
+    "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+)
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY"
+)
+# Whole headers; short licences whole, of the long ones the beginning, which names licence and version.
+HEADERS = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+     "License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
+     "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+     "to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+     "substantial portions of the Software. " + _AS_IS),
+    ("GPL-2.0", "This program is " + _GNU.format("General Public License", "2", "program")),
+    ("GPL-3.0", "This program is " + _GNU.format("General Public License", "3", "program")),
+    ("LGPL-2.1", "This library is " + _GNU.format("Lesser General Public License", "2.1", "library")),
+    ("LGPL-3.0", "This library is " + _GNU.format("Lesser General Public License", "3", "library")),
+    ("AGPL-3.0", "This program is " + _GNU.format("Affero General Public License", "3", "program")),
+    ("GPL-2.0", _GNU_TEXT.format("GENERAL PUBLIC LICENSE", "2, June 1991", "1989, 1991")),
+    ("GPL-3.0", _GNU_TEXT.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007")),
+    ("LGPL-2.1", _GNU_TEXT.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", "1991, 1999")),
+    ("LGPL-3.0", _GNU_TEXT.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007")),
+    ("AGPL-3.0", _GNU_TEXT.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", "2007")),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of "
+     "source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the "
+     "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+     "You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+     "permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+     "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+#: Comment marks at the two ends of a line.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|\.\.|\"{3}|'{3}|dnl\b|rem\b)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+SPDX = r"(?i)spdx-licen[cs]e-identifier:[ \t]*\(?([a-z0-9.+-]+)"
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|permission (is|to)|redistribution|public domain|rights reserved|free software"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)?"
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([.-].*)?$"
 #: Least cosine of a match.
 LEAST = 0.5
+#: Least cosine of a whole header.
+LEAST_HEADER = 0.75
 
 
-def weights() -> tuple[list[tuple[int, str, str, float]], float]:
+def weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], float]:
     """(template, licence, term, weight of the unit vector), and the idf of a term no template has."""
-    bags = [re.findall(TERM, text.lower()) for _, text in TEMPLATES]
+    bags = [re.findall(TERM, text.lower()) for _, text in templates]
     n = len(bags)
     idf = {t: math.log((1 + n) / (1 + sum(t in b for b in bags))) + 1 for b in bags for t in b}
     rows = []
-    for k, ((licence, _), bag) in enumerate(zip(TEMPLATES, bags)):
+    for k, ((licence, _), bag) in enumerate(zip(templates, bags)):
         vector = {t: bag.count(t) * idf[t] for t in bag}
         norm = math.sqrt(sum(v * v for v in vector.values()))
         rows += [(k, licence, t, idf[t], v / norm) for t, v in vector.items()]
     return rows, math.log(1 + n) + 1
 
 
-def _templates(spark: SparkSession) -> tuple[DataFrame, float]:
-    rows, other = weights()
+def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, float]:
+    rows, other = weights(templates)
     values = ", ".join(f"({k}, '{licence}', '{term}', {idf!r}D, {weight!r}D)" for k, licence, term, idf, weight in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, licence, term, idf, weight)"), other
 
@@ -66,9 +124,29 @@ def statements(text):
     return F.when(text.rlike(TRIGGER), F.filter(parts, lambda s: s.rlike(TRIGGER)))
 
 
-def match_statements(found: DataFrame) -> DataFrame:
-    """found(statement), distinct -> (statement, licence, score) of the best template at LEAST or more."""
-    templates, other = _templates(found.sparkSession)
+def windows(rows: DataFrame) -> DataFrame:
+    """rows(path, body) -> distinct (path, statement): the text over a header's length, laid so that a pair of licence words meets that of the header."""
+    laid = {}
+    for _, text in HEADERS:
+        bag = re.findall(TERM, text.lower())
+        for k, pair in enumerate(zip(bag, bag[1:])):
+            if re.search(r"licen[cs]e|permission|redistribut|unencumbered|source code", " ".join(pair)):
+                laid.setdefault(" ".join(pair), set()).add((k, len(bag)))
+    values = ", ".join(f"('{pair}', {k}, {n})" for pair, places in sorted(laid.items()) for k, n in sorted(places))
+    places = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(pair, before, length)")
+    plain = F.lower(F.regexp_replace("body", MARKS, ""))
+    words = rows.where(F.col("body").rlike(TRIGGER)).select("path", F.regexp_extract_all(plain, F.lit(TERM), 0).alias("words")).where(F.size("words") > 1)
+    pair = lambda k: F.concat_ws(" ", F.get("words", k), F.get("words", k + 1))
+    met = F.filter(F.sequence(F.lit(0), F.size("words") - 2), lambda k: pair(k).isin(*laid))
+    met = words.select("path", "words", F.explode(met).alias("at")).select("path", "words", "at", pair(F.col("at")).alias("pair"))
+    begin = F.greatest(F.col("at") - F.col("before"), F.lit(0))
+    cut = F.array_join(F.slice("words", begin + 1, F.col("length")), " ")
+    return met.join(F.broadcast(places), "pair").select("path", cut.alias("statement")).distinct()
+
+
+def match_statements(found: DataFrame, fixed: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """found(statement), distinct -> (statement, licence, score) of the best template at the least cosine or more."""
+    templates, other = _templates(found.sparkSession, fixed)
     known = templates.select("term", "idf").distinct()
     terms = found.select("statement", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), 0)).alias("term"))
     counted = terms.groupBy("statement", "term").agg(F.count("*").alias("tf"))
@@ -77,7 +155,7 @@ def match_statements(found: DataFrame) -> DataFrame:
     norms = valued.groupBy("statement").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     dots = valued.join(F.broadcast(templates.select("template", "licence", "term", "weight")), "term").groupBy("statement", "template", "licence").agg(
         F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norms, "statement").select("statement", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= LEAST)
+    cosine = dots.join(norms, "statement").select("statement", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = cosine.groupBy("statement").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
     return best.select("statement", "best.licence", (-F.col("best.s")).alias("score"))
 
@@ -95,7 +173,13 @@ def file_licences(files: DataFrame, path_column: str = "path", text_column: str
     said = rows.select("path", F.explode(F.array_distinct(statements(F.col("body")))).alias("statement"))
     said = said.groupBy("path", "statement").agg(F.lit(1).alias("one")).drop("one")
     matched = match_statements(said.groupBy("statement").agg(F.lit(1).alias("one")).drop("one"))
-    own = said.join(matched, "statement").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("best"))
+    laid = staged(windows(rows), "windows")
+    whole = laid.join(match_statements(laid.select("statement").distinct(), HEADERS, LEAST_HEADER), "statement")
+    named = rows.select("path", F.explode(F.regexp_extract_all("body", F.lit(SPDX), 1)).alias("licence"))
+    named = named.select("path", F.regexp_replace("licence", r"(?i)(-only|-or-later|\+)?\.*$", "").alias("licence"), F.lit(1.0).alias("score"))
+    kinds = [(named, 0), (whole, 0), (said.join(matched, "statement"), 1)]
+    every = reduce(DataFrame.union, [t.select("path", F.struct(F.lit(k).alias("kind"), (-F.col("score")).alias("s"), "licence").alias("best")) for t, k in kinds])
+    own = every.groupBy("path").agg(F.min("best").alias("best"))
     own = own.select("path", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
     here, name = F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), F.regexp_extract("path", r"[^/]*$", 0)

@@ -29,3 +29,28 @@ def test_licences_and_inheritance(spark):
         "a/d/e.py": ("GPL-3.0", "inherited", "a/d"), "a/d/LICENSE-1": ("GPL-3.0", "own", None),
     }
     assert licenses.file_licences(table.limit(0)).count() == 0
+
+
+def test_headers_are_compared_whole(spark):
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+int main;"""
+    gnu = """# This file is part of a tool.
+#
+# This {2} is free software; you can redistribute it and/or
+# modify it under the terms of the GNU {0} General Public
+# License as published by the Free Software Foundation; either
+# version {1} of the License, or (at your option) any later version.
+#
+# This {2} is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+# {0} General Public License for more details.
+import os
+"""
+    rows = [("m/a.c", mpl), ("m/b.py", gnu.format("Lesser", "2.1", "library")), ("m/c.py", gnu.format("", "2", "program")), ("m/d.py", gnu.format("Affero", "3", "program")),
+            ("m/e.py", gnu.format("", "3", "program")), ("m/f.py", "// SPDX-License-Identifier: MIT\nint x;"), ("n/COPYING", "words " * 300 + "\n" + mpl), ("n/o/p.c", "int y;")]
+    got = {r.path: (r.licence, r.how) for r in licenses.file_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"m/a.c": ("MPL-2.0", "own"), "m/b.py": ("LGPL-2.1", "own"), "m/c.py": ("GPL-2.0", "own"), "m/d.py": ("AGPL-3.0", "own"), "m/e.py": ("GPL-3.0", "own"),
+                   "m/f.py": ("MIT", "own"), "n/COPYING": ("MPL-2.0", "own"), "n/o/p.c": ("MPL-2.0", "inherited")}
