@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.staging import staged
 
-#: Entities drawn more than once that a task may hold (9 bytes each).
+#: Entities drawn more than once that a task may hold (12 bytes each).
 MAX_REDRAWN = 10_000_000
 
 # Forms of address by gender, given names by gender and script.
@@ -145,7 +145,8 @@ def _draw(key: bytes, kind: str, value: str, attempt: int) -> str:
         given, syllables = GIVEN[kind[-1], script].split(), SYLLABLES[script]
         drawn, words = _keyed(key, kind, value, attempt), value.split()
         family = []
-        for _ in range(4):
+        # A syllable more for each attempt of surrogate(), so that names never run out.
+        for _ in range(4 + attempt // 8):
             drawn, k = divmod(drawn, len(syllables))
             family.append(syllables[k])
         family = "".join(family).capitalize()
@@ -218,7 +219,7 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_column: str = "doc_id"
     if rows > MAX_REDRAWN:
         raise ValueError(f"{rows} entities were drawn again; at most {MAX_REDRAWN} fit a task: use another key or fewer kinds")
     table = again.select(F.xxhash64("kind", "value").alias("h"), "attempt").toPandas().sort_values("h")
-    shared = spark.sparkContext.broadcast((table["h"].to_numpy(np.int64), table["attempt"].to_numpy(np.int8)))
+    shared = spark.sparkContext.broadcast((table["h"].to_numpy(np.int64), table["attempt"].to_numpy(np.int32)))
     found = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body"))
 
     def run(batches):

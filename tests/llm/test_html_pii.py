@@ -63,3 +63,19 @@ def test_corpus_keeps_identity_and_distinctness(spark, monkeypatch):
     assert got[3].text == "nothing here" and got[None].text is None and got[4].n_entities == 0 and got[1].kinds == "email:1,ip:1"
     assert got[1].text.split()[1].rstrip(",") == got[2].text.split()[0] != "ann@x1.example.com"
     assert pii.replace_personal_data(docs.limit(0), KEY).count() == 0
+
+
+def test_one_word_names_never_run_out(spark, monkeypatch):
+    assert len({pii.surrogate(KEY, "name_m", "Ann", a) for a in range(300)}) == 300
+    assert all(3 * n <= len(pii.surrogate(KEY, "name_m", "Meier", n - 4)) <= 4 * n for n in (4, 5, 9))
+    # Attempts beyond a byte are written as they were settled.
+    again = spark.createDataFrame([("name_m", "Meier", 300)], "kind string, value string, attempt int")
+    monkeypatch.setattr(pii, "redrawn", lambda found, key: again)
+    docs = spark.createDataFrame([(1, "Herr Meier")], "doc_id long, text string")
+    assert pii.replace_personal_data(docs, KEY).first().text == "Herr " + pii.surrogate(KEY, "name_m", "Meier", 300)
+    monkeypatch.undo()
+    # More names than four syllables of two kinds make: 16.
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "den"])
+    names = [f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    drawn = {n: pii.surrogate(KEY, "name_m", n, 4) for n in names}
+    assert len(set(drawn.values())) > 16
