@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Turn numbers of one part; longer conversations give several parts of bounded size.
+#: Turn numbers of one part; longer conversations give several parts.
 PART = 512
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -21,8 +21,8 @@ def rotate(
     Every role but "system" is a speaker; system turns open no perspective and stay system turns.
     mask: "start-end" spans, joined by commas, in code points of the part's text, end excluded;
     they cover the speaker's words and the end mark. A part holds turn numbers k * part up to
-    (k + 1) * part, so no task holds more of a conversation than that; its texts are put
-    together once and rotated then.
+    (k + 1) * part; its texts are put together once and rotated then. A task holds all rows of
+    a part: ties of a number, and rows without one or without a conversation, are not bounded.
 
     Turns are ordered by number, ties by role and text; repeated rows are one turn. Marks inside
     a text are broken by a backslash, so that no text can end its turn. Missing texts are empty,
