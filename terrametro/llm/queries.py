@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact, html, licenses, lm, pii, simhash, toxicity
+from . import bpe, chat, decontam, divergence, exact, html, licenses, lm, pii, repair, simhash, toxicity
 from .common import in_bucket, table
 
 QUERIES: dict = {}
@@ -143,3 +143,32 @@ def op4(spark, sf):
 @_query("op5_lm_scoring")
 def op5(spark, sf):
     return lm.score_texts(table(spark, sf, "documents"), ~in_bucket("doc_id", 7, 2))
+
+
+
+
+@_query("op12_conversation_repair")
+def op12(spark, sf):
+    return repair.repair(table(spark, sf, "conversations"))
+
+
+_LETTERS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@_query("op13_source_divergence", f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS} AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*) AS terms, sum(total) AS lang_total FROM v GROUP BY 1),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (g.total + terms)::HUGEINT AS p,
+  1 + (1000000000::HUGEINT * (v.total + 1)) // (lang_total + terms)::HUGEINT AS q FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term WHERE x.term IS NULL OR y.term IS NOT NULL GROUP BY 1, 2, 3),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200""")
+def op13(spark, sf):
+    return divergence.source_divergence(table(spark, sf, "documents"), least_docs=3, top=200)
