@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, divergence, exact, html, licenses, lm, pii, repair, simhash, toxicity
+from . import bpe, chat, decontam, divergence, exact, html, licenses, lm, minhash, pii, repair, simhash, toxicity
 from .common import in_bucket, table
 
 QUERIES: dict = {}
@@ -147,6 +147,11 @@ def op5(spark, sf):
 
 
 
+@_query("op11_minhash_near_dedup")
+def op11(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"), words=5, percent=85)
+
+
 @_query("op12_conversation_repair")
 def op12(spark, sf):
     return repair.repair(table(spark, sf, "conversations"))
