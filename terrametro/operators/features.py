@@ -39,6 +39,17 @@ def fit_features(train: DataFrame, numeric, categorical=(), output: str = "featu
     return PipelineModel(stages=stages)
 
 
+def indicator_columns(df: DataFrame, categorical, by_column: bool = False):
+    """df with a 0/1 column for every level but the alphabetically first, and their names (by column: in a
+    dict). Levels are a vocabulary, listed when planning; a missing value has no indicator set."""
+    found = {}
+    for c in categorical:
+        levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()][1:]
+        found[c] = [f"{c}#{i}" for i in range(len(levels))]
+        df = df.withColumns({name: F.coalesce((F.col(c) == level).cast("double"), F.lit(0.0)) for name, level in zip(found[c], levels)})
+    return df, found if by_column else [name for names in found.values() for name in names]
+
+
 def category_levels(df: DataFrame, column: str) -> DataFrame:
     """Distinct levels; the first one is the level one-hot encoding leaves out."""
     levels = df.select(column).where(F.col(column).isNotNull()).distinct()
