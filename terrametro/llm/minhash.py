@@ -226,6 +226,12 @@ def _linked_sets(percent: int):
     return compare
 
 
+def links_of_sets(whole: DataFrame, percent: int) -> DataFrame:
+    """whole(key, node, root, shingles) -> (a, b): links that connect what links between different roots of a key connect."""
+    weight = F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum(F.size("shingles")) / SET_SHINGLES))
+    return _in_cells(whole, whole.groupBy("key").agg(weight.alias("blocks")), "shingles", _linked_sets(percent))
+
+
 def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes with root, the smallest node its links reach."""
     roots = components(links).withColumnRenamed("node", "linked")
@@ -280,8 +286,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         families = staged(components(maybe).withColumnRenamed("root", "key"), "families")
         sets = whole_sets(docs, id_column, text_column, words, distinct, families.select("node"))
         whole = families.join(names, "node").join(sets, "node")
-        weight = F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum(F.size("shingles")) / SET_SHINGLES))
-        links = links.union(staged(_in_cells(whole, whole.groupBy("key").agg(weight.alias("blocks")), "shingles", _linked_sets(percent)), "links"))
+        links = links.union(staged(links_of_sets(whole, percent), "links"))
         names = _classes(distinct.select("node"), links)
 
     named = distinct.select("node", "digest", "low").join(names, "node")

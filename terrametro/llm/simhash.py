@@ -24,8 +24,6 @@ from .components import components
 BITS = 64
 #: Fingerprints of one bucket that are compared in one block; larger buckets are cut into blocks.
 BLOCK = 2048
-#: Nearest candidates of a fingerprint that a crowded block gives in the first round; eight times as many in each later one.
-NEAREST = 4
 #: Relative costs of filing a fingerprint in one bucket and of comparing one pair.
 FILE_COST, COMPARE_COST = 1.0, 0.004
 _CHUNK = 1 << 15
@@ -199,69 +197,13 @@ def _spanning(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _nearest_forest(apart: np.ndarray, wanted: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of least distance over the wanted pairs of a block pair.
-
-    For every distance d, its edges of at most d connect what all wanted pairs of at most d connect.
-    """
-    n, m = apart.shape
-    far = np.iinfo(np.int16).max
-    cost = np.where(wanted, apart, far).astype(np.int16)
-    if same:
-        whole = cost
-    else:
-        whole = np.full((n + m, n + m), far, np.int16)
-        whole[:n, n:], whole[n:, :n] = cost, cost.T
-    size = len(whole)
-    best, source, free = np.full(size, far, np.int16), np.zeros(size, np.int64), np.ones(size, bool)
-    a, b = [], []
-    for _ in range(size):
-        v = int(np.argmin(np.where(free, best, far)))
-        if not free[v]:
-            v = int(np.argmax(free))
-        elif best[v] < far:
-            a.append(min(v, source[v]))
-            b.append(max(v, source[v]))
-        free[v] = False
-        nearer = free & (whole[v] < best)
-        best[nearer], source[nearer] = whole[v][nearer], v
-    return np.array(a, np.int64), np.array(b, np.int64) - (0 if same else n)
-
-
-def _local_classes(size: int, a, b) -> np.ndarray:
-    root = list(range(size))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        root[find(x)] = find(y)
-    return np.array([find(x) for x in range(size)])
-
-
-def _nearest(apart: np.ndarray, wanted: np.ndarray, each: int) -> np.ndarray:
-    """The wanted pairs that are among the nearest of one of their two."""
-    cost, keep = np.where(wanted, apart, np.uint8(255)), np.zeros(wanted.shape, bool)
-    for axis in (0, 1):
-        if each >= cost.shape[axis]:
-            return wanted
-        first = np.take(np.argpartition(cost, each - 1, axis=axis), np.arange(each), axis=axis)
-        np.put_along_axis(keep, first, True, axis=axis)
-    return keep & wanted
-
-
-def filed(fps: DataFrame, columns: list[str], max_bits: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+def filed(fps: DataFrame, columns: list[str], max_bits: int) -> DataFrame:
     """fps(node, fp, fp2), distinct -> (k, v, x, y, own, node, fp, fp2): the cells in which all
-    pairs within max_bits of a column meet; and column and mask of every k."""
-    keys, masked = [], []
+    pairs within max_bits of a column meet."""
+    keys = []
     for column in columns:
-        masks = plan_masks(*bit_statistics(fps, column), max_bits)
-        for m in masks:
-            masked.append((column, m - (1 << 64) if m >> 63 else m))
-            value = F.col(column).bitwiseAND(F.lit(masked[-1][1]).cast("bigint"))
+        for m in plan_masks(*bit_statistics(fps, column), max_bits):
+            value = F.col(column).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint"))
             keys.append(F.struct(F.lit(len(keys)).alias("k"), value.alias("v")))
     rows = fps.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key")).select("key.k", "key.v", "node", "fp", "fp2")
     # Buckets beyond a block are cut into blocks; every pair of blocks meets in one cell.
@@ -272,7 +214,7 @@ def filed(fps: DataFrame, columns: list[str], max_bits: int) -> tuple[DataFrame,
     others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     return dealt.withColumn("other", others).select(
         "k", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "fp", "fp2"
-    ), masked
+    )
 
 
 def _in_cells(cells: DataFrame, compare, schema: str) -> DataFrame:
@@ -316,54 +258,21 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         i, j = _spanning(_apart(p, q, 6) <= max_bits, same)
         return [pa.RecordBatch.from_pydict({"a": p[i, 5], "b": q[j, 5]})] if len(i) else []
 
-    return _in_cells(filed(fps, ["fp"], max_bits)[0], compare, "a bigint, b bigint")
-
-
-_CELL = ["k", "v", "x", "y", "own", "node", "fp", "fp2"]
+    return _in_cells(filed(fps, ["fp"], max_bits), compare, "a bigint, b bigint")
 
 
-def candidates(cells: DataFrame, masked: list[tuple[str, int]], each: int, loose_bits: int) -> DataFrame:
-    """cells of filed() with root, the class of the node -> rows of two kinds.
-
-    (a, b): pairs of different classes that differ in at most loose_bits of both fingerprints,
-    each given by the first k in which its two meet.
-    A cell with very many gives its forest of the nearest and the `each` nearest of every
-    node. If that leaves pairs out, the nodes of those are given again as rows of the cell,
-    to be asked once classes are known.
-    """
-    none = pa.nulls
+def close_pairs(cells: DataFrame, max_bits: int, loose_bits: int) -> DataFrame:
+    """cells of filed() with root, a class of the node -> (a, b): a spanning forest of each cell's pairs of different
+    classes that differ in at most max_bits of one fingerprint and in at most loose_bits of both."""
 
     def compare(p, q, same):
-        apart = _apart(p, q, 6) + _apart(p, q, 7)
-        wanted, out = (apart <= loose_bits) & (p[:, None, 8] != q[None, :, 8]), []
-        i, j = np.nonzero(wanted)
-        if len(i):
-            differ, met = {"fp": p[i, 6] ^ q[j, 6], "fp2": p[i, 7] ^ q[j, 7]}, np.zeros(len(i), bool)
-            for column, m in masked[: p[0, 0]]:
-                met |= (differ[column] & m) == 0
-            wanted[i[met], j[met]] = False
-        left = np.zeros_like(wanted)
-        if wanted.sum() // (2 if same else 1) > 4 * sum(wanted.shape):
-            given = _nearest(apart, wanted, each)
-            a, b = _nearest_forest(apart, wanted, same)
-            given[a, b] = True
-            if same:
-                given |= given.T
-            left = wanted & ~given
-        else:
-            given = wanted
-        i, j = np.nonzero(np.triu(given, 1) if same else given)
-        if len(i):
-            a, b = np.minimum(p[i, 5], q[j, 5]), np.maximum(p[i, 5], q[j, 5])
-            out.append(pa.RecordBatch.from_pydict({"a": a, "b": b, **{c: none(len(i), pa.int64()) for c in _CELL}}))
-        if left.any():
-            rows = p[left.any(axis=1)] if same else np.concatenate([p[left.any(axis=1)], q[left.any(axis=0)]])
-            pair = {"a": none(len(rows), pa.int64()), "b": none(len(rows), pa.int64())}
-            out.append(pa.RecordBatch.from_pydict({**pair, **{c: rows[:, k].copy() for k, c in enumerate(_CELL)}}))
-        return out
-
-    schema = "a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in _CELL)
-    return _in_cells(cells.select(*_CELL, "root"), compare, schema)
+        one, two = _apart(p, q, 6), _apart(p, q, 7)
+        near = (np.minimum(one, two) <= max_bits) & (one + two <= loose_bits) & (p[:, None, 8] != q[None, :, 8])
+        i, j = _spanning(near, same)
+        return [pa.RecordBatch.from_pydict({"a": p[i, 5], "b": q[j, 5]})] if len(i) else []
+
+    pairs = _in_cells(cells.select("k", "v", "x", "y", "own", "node", "fp", "fp2", "root"), compare, "a bigint, b bigint")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, text_column: str, words: int) -> DataFrame:
@@ -383,73 +292,6 @@ def shingle_sets(docs: DataFrame, text_column: str, words: int) -> DataFrame:
     return sets.select(F.xxhash64("fp", "fp2").alias("node"), "shingles").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-    one = sets.withColumnsRenamed({"node": "a", "shingles": "x"})
-    two = sets.withColumnsRenamed({"node": "b", "shingles": "y"})
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # A pair of very different sizes can't reach the similarity.
-    sizes = [F.size("x"), F.size("y")]
-    fit = F.least(*sizes) >= F.lit(similarity) * F.greatest(*sizes)
-    return both.where(fit).mapInArrow(run, "a bigint, b bigint")
-
-
-def near_copies(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 9, loose_bits: int = 30,
-) -> DataFrame:
-    """One row per input row with an id: id, component_id (smallest id reachable over links).
-
-    Texts are linked at this Jaccard similarity of their sets of word shingles. Candidates come from
-    two fingerprints over distinct shingles, probed at max_bits. Sets of Jaccard
-    similarity s differ in acos(2s / (1 + s)) / pi of the 128 bits: 19.4 at 0.8, with a
-    deviation of 4.1, so loose_bits lies 2.6 deviations above. Every link is confirmed on
-    the whole shingle sets. Where candidates are very many, the nearest come first; those
-    that still join different classes follow in rounds, until none is left.
-
-    Rows without an id take no part. Missing, empty and blank texts are linked with each
-    other. Repeated rows are answered alike. An empty table gives no rows.
-    """
-    docs = docs.where(F.col(id_column).isNotNull())
-    hashed = staged(fingerprints(docs, id_column, text_column, words, True), "fingerprints")
-    distinct = staged(hashed.groupBy("fp", "fp2").agg(F.min("id").alias("low")).withColumn("node", F.xxhash64("fp", "fp2")), "distinct")
-    cells, masked = filed(distinct.select("node", "fp", "fp2"), ["fp", "fp2"], max_bits)
-    cells = cells.withColumn("root", F.col("node"))
-    sets = linked = tested = None
-    each = NEAREST
-    while True:
-        found = staged(candidates(cells, masked, each, loose_bits), "candidates")
-        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        if sets is None:
-            # Later rounds ask only for nodes that have a pair in the first.
-            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            ids = small(staged(distinct.join(nodes, "node").select(F.col("low").alias("wanted")), "wanted"))
-            texts = docs.join(ids, docs[id_column] == ids["wanted"], "left_semi")
-            sets = staged(shingle_sets(texts, text_column, words), "shingles")
-        more = staged(confirmed(pairs, sets, similarity), "confirmed")
-        linked = more if linked is None else linked.union(more)
-        roots = staged(components(linked), "roots")
-        left = found.where("node IS NOT NULL").select(*_CELL)
-        if left.isEmpty():
-            break
-        known = roots.withColumnRenamed("node", "linked")
-        cells = left.join(known, F.col("node") == F.col("linked"), "left").select(*_CELL, F.coalesce("root", "node").alias("root"))
-        each *= 8
-    return _named(hashed, distinct, roots).select(F.col("id").alias(id_column), "component_id")
-
-
 def _named(hashed: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """hashed with the smallest id of each component of nodes."""
     linked = roots.withColumnRenamed("node", "linked")
