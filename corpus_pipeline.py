@@ -3,12 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every result to the
 shared folder and reads it back as the next stage's docs. All but the last return the columns of
 docs. Rows without an id are never dropped by a stage that decides by id.
+
+All stages: missing texts count as empty, whole texts are read however long, rows that repeat an id and text
+are answered alike, ties are settled by the id, an empty table gives an empty one, and extra columns of any name
+stay as they are but for the names the last stage gives its results.
 """
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terrametro.llm import bpe, decontam, exact, simhash, toxicity
+from terrametro.llm import bpe, decontam, exact, near_copies, toxicity
 from terrametro.llm.common import table, without_ids
 from terrametro.sources.staging import staged
 
@@ -26,8 +30,8 @@ def drop_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of texts linked at a similarity of 0.8 or more of their shingles of five words, the smallest id stays."""
-    found = simhash.near_copies(docs, words=5, similarity=0.8)
+    """Of texts that fingerprints bring together and that share 0.8 or more of their shingles of five words, the smallest id stays."""
+    found = near_copies.near_copies(docs, words=5, percent=80)
     return without_ids(docs, found.where("doc_id <> component_id"))
 
 
@@ -38,12 +42,16 @@ def drop_contaminated(spark, docs, sf_dir):
 
 
 def tokenize(spark, docs, sf_dir):
-    """All columns of docs, with token_ids, n_tokens and whether the ids decode to the text."""
+    """All columns of docs, with token_ids, n_tokens and round_trip, whether the ids decode to the text; columns that
+    already have one of these three names are replaced."""
     tokens = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.encode_column(docs["text"], tokens, public_tokenizers.PATTERN, spark)
-    same = F.col("coded.decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    out = docs.withColumn("coded", coded)
-    return out.withColumns({"token_ids": F.col("coded.ids"), "n_tokens": F.size("coded.ids").cast("long"), "round_trip": same}).drop("coded")
+    coded = "coded"
+    while coded in docs.columns:
+        coded += "_"
+    out = docs.withColumn(coded, bpe.encode_column(docs["text"], tokens, public_tokenizers.PATTERN, spark))
+    same = F.col(f"{coded}.decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    given = {"token_ids": F.col(f"{coded}.ids"), "n_tokens": F.size(f"{coded}.ids").cast("long"), "round_trip": same}
+    return out.withColumns(given).drop(coded)
 
 
 STAGES = [
