@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,30 @@ def permute(key: bytes, kind: str, values: list[int], radices: list[int], attemp
     return sides[0] + sides[1]
 
 
+#: Attempts after which a format is taken for full and grows by a sign a time; attempts that an entity may need.
+GROW_AFTER, MAX_ATTEMPTS = 5, 64
+
+
+@lru_cache(maxsize=100_000)
+def _alphabet(c: str) -> str:
+    """What may stand for a letter or digit: the digits of its script, or the letters of its kind nearby in Unicode."""
+    plain = next(("".join(map(chr, range(ord(a), ord(a) + n))) for a, n in _RANGES if ord(a) <= ord(c) < ord(a) + n), "")
+    if plain or not c.isalnum():
+        return plain
+    digit, kind = unicodedata.decimal(c, None), unicodedata.category(c)
+    if digit is not None:
+        return "".join(chr(ord(c) - digit + i) for i in range(10))
+    start = ord(c) & ~63
+    return "".join(x for x in map(chr, range(start, start + 64)) if unicodedata.category(x) == kind)
+
+
+def _grown(value: str, more: int) -> str:
+    """The value with its first letter or digit (behind a country code) so many times more."""
+    lead = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+    at = next((i for i, c in enumerate(value) if c.isalnum() and (not lead or i >= lead.end())), 0)
+    return value[:at] + value[at] * more + value[at:]
+
+
 _RANGES = [("0", 10), ("a", 26), ("A", 26), ("а", 32), ("А", 32), ("α", 25), ("Α", 25), ("א", 27)]
 
 
@@ -96,7 +122,7 @@ def _shaped(key: bytes, kind: str, value: str, attempt: int, keep=(), hexadecima
         if hexadecimal:
             alphabet = "0123456789ABCDEF" if value.isupper() else "0123456789abcdef"
         else:
-            alphabet = next(("".join(map(chr, range(ord(a), ord(a) + n))) for a, n in _RANGES if ord(a) <= ord(c) < ord(a) + n), "")
+            alphabet = _alphabet(c)
         if c in alphabet and alphabet:
             places.append(i)
             values.append(alphabet.index(c))
@@ -116,9 +142,15 @@ def _check_digit(digits: list[int]) -> int:
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The attempt-th surrogate of an entity, never the entity itself if its format leaves a choice."""
+    if attempt > MAX_ATTEMPTS and not kind.startswith("name"):
+        raise ValueError(f"no free surrogate of kind {kind} and format {re.sub(r'[^\W_]', 'x', value)} in {MAX_ATTEMPTS} attempts")
+    if attempt >= GROW_AFTER and kind != "ip" and not kind.startswith("name"):
+        value, own = _grown(value, attempt - GROW_AFTER + 1), value
+    else:
+        own = value
     for turn in range(attempt * 8, attempt * 8 + 8):
         found = _draw(key, kind, value, turn)
-        if found != value:
+        if found != own:
             return found
     return found
 
@@ -210,7 +242,9 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_column: str = "doc_id"
     Emails, phone numbers, card numbers, IP addresses, social security numbers, secrets and
     titled names are replaced, over the whole text. The same entity has the same surrogate
     everywhere; different entities never share one, and no surrogate equals an entity of the
-    corpus. A missing text stays missing and has no entities. Repeated rows are answered each; an
+    corpus. Letters and digits of any script are replaced within it. A format whose values are all taken
+    grows by a sign with each further attempt; an entity that has no surrogate after MAX_ATTEMPTS is an error that
+    names kind and format. A missing text stays missing and has no entities. Repeated rows are answered each; an
     empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -79,3 +79,19 @@ def test_one_word_names_never_run_out(spark, monkeypatch):
     names = [f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
     drawn = {n: pii.surrogate(KEY, "name_m", n, 4) for n in names}
     assert len(set(drawn.values())) > 16
+
+
+def test_every_script_and_full_formats_have_surrogates(spark):
+    """Brute force of distinctness and coreference; a format with all its 100 values in the corpus."""
+    from terrametro.llm import pii
+
+    values = ["用户@例子.公司", "é@ü.fr", "+٩٦٦ ٥٠ ١٢٣ ٤٥٦٧", *[f"{a}@{b}.5" for a in range(10) for b in range(10)]]
+    rows = [(i, f"write to {v} or {v}") for i, v in enumerate(values)]
+    out = pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()
+    given = {}
+    for r in out:
+        one, two = r.text.removeprefix("write to ").split(" or ")
+        assert one == two and values[r.doc_id] not in r.text
+        given[values[r.doc_id]] = one
+    assert len(given) == len(values) == len(set(given.values())) and not set(given.values()) & set(values)
+    assert given["é@ü.fr"].endswith(".fr") and all("٠" <= c <= "٩" for c in given["+٩٦٦ ٥٠ ١٢٣ ٤٥٦٧"] if c.isdigit())
