@@ -312,15 +312,38 @@ def heuristic_baselines(df: DataFrame, group: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
-    """Pearson, long form, every ordered pair, one aggregation."""
+    """Pearson, long form, every ordered pair, over the rows that have both values.
+
+    Each task adds up one matrix of products, shifted by the columns' means; matrices are summed by
+    cell and the pairs read off them, so the plan does not grow with the number of columns. A pair without
+    spread or rows is missing.
+    """
+    import numpy as np
+    import pyarrow as pa
+
     names = list(columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("coluna_a"), F.lit(y).alias("coluna_b"), F.col(f"r{i}").alias("r")))
-    return wide.select(F.inline(F.array(*cells)))
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    means = rows.agg(F.array(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)) for i in range(len(names))])).first()[0]
+
+    def products(batches):
+        total = np.zeros((4, len(names), len(names)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - means
+            known = ~np.isnan(x)
+            x, known = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        a, b = np.indices(total.shape[1:])
+        cells = {"a": a.ravel(), "b": b.ravel(), "n": total[0].ravel(), "sa": total[1].ravel(), "sb": total[1].T.ravel(), "qa": total[2].ravel(), "qb": total[2].T.ravel(), "p": total[3].ravel()}
+        yield pa.RecordBatch.from_pydict({k: np.ascontiguousarray(v) for k, v in cells.items()})
+
+    parts = rows.mapInArrow(products, "a bigint, b bigint, n double, sa double, sb double, qa double, qb double, p double")
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    spread = F.sqrt(F.expr("(n * qa - sa * sa) * (n * qb - sb * sb)"))
+    label = F.array(*[F.lit(c) for c in names])
+    return sums.select(
+        F.element_at(label, F.col("a").cast("int") + 1).alias("coluna_a"), F.element_at(label, F.col("b").cast("int") + 1).alias("coluna_b"),
+        (F.expr("n * p - sa * sb") / F.when(spread > 0, spread)).alias("r"),
+    )
 
 
 def within_group_rank_correlation(df: DataFrame, value: str, group: str, features, minimum: int = 10) -> DataFrame:

@@ -164,3 +164,16 @@ def _(spark, sf):
     counts = [d.agg(F.count("*").alias("n")).scalar() for d in (profiles, defaults)]
     ok = (sums[0] == sums[1]) & (counts[0] > 0) & (counts[1] == len(context))
     return table(spark, sf, "lineitem").agg(F.count("*").alias("n")).select(((F.col("n") > 0) & ok).alias("ok"))
+
+
+_CLASSES = {"Bairro_": "Bairro", "Tipo_Imovel_": "Tipo_Imovel"}
+
+
+@query("class_labels_from_indicators", "C28 M1", " UNION ALL ".join(
+    f"SELECT DISTINCT '{prefix}' AS prefixo, trim(replace({c}, '_', ' ')) AS classe FROM ({LISTINGS_SQL}) WHERE {c} > (SELECT min({c}) FROM ({LISTINGS_SQL}))" for prefix, c in _CLASSES.items()))
+def _(spark, sf):
+    """Class names read off the names of the indicator columns that encoding makes (no first level)."""
+    rows = listings(spark, sf)
+    names = {p: [r[0] for r in X.dummies_long(rows, K.URL, c).select("coluna").distinct().orderBy("coluna").collect()] for p, c in _CLASSES.items()}
+    found = [(p, label) for p, columns in names.items() for label in X.class_labels(columns, list(_CLASSES))]
+    return spark.createDataFrame(found, "prefixo string, classe string")

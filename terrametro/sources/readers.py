@@ -58,15 +58,16 @@ def read_latest_snapshot(
     The dated name is what the pattern finds in the file's path: the file name, or a
     dated folder for snapshots written in parts. `array_files`: each file is one JSON
     array (read whole); otherwise one object per line, which large files should use.
+    The snapshot is chosen from the listing, and no other is opened.
     """
-    rows = (
-        spark.read.schema(schema)
-        .option("multiLine", array_files)
-        .json(path)
-        .withColumn("_name", F.regexp_extract(F.col("_metadata.file_path"), name, 0))
+    # Paths alone: this source opens a file only if its content is asked for.
+    files = spark.read.format("binaryFile").load(path).select(
+        F.regexp_extract("path", name, 0).alias("snapshot"), F.regexp_extract("path", f"^.*?(?:{name})", 0).alias("place")
     )
-    latest = rows.agg(F.max("_name").alias("_latest")).scalar()
-    return rows.where(F.col("_name") == latest).drop("_name")
+    latest = files.groupBy("snapshot").agg(F.collect_set("place").alias("places")).orderBy(F.desc("snapshot")).first()
+    if latest is None:
+        raise FileNotFoundError(f"no snapshot under {path}")
+    return spark.read.schema(schema).option("multiLine", array_files).json(sorted(latest["places"]))
 
 
 def tag_pois(elements: DataFrame) -> DataFrame:

@@ -263,3 +263,38 @@ def test_letters_in_common_bound_the_block_ratio(spark):
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.letters_in_common(F.col("a"), F.col("b")).alias("r")).collect()
     for r in rows:
         assert r.r == pytest.approx(difflib.SequenceMatcher(None, r.a, r.b).quick_ratio())
+
+
+def test_correlations_are_pairwise_over_known_values(spark):
+    import numpy as np
+    import pandas as pd
+
+    from terrametro.operators import metrics as M
+
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame(rng.random((200, 12)) + 1e6, columns=[f"x{i}" for i in range(12)])
+    data["x1"] += 0.5 * data["x0"]
+    data["x2"] = 7.0
+    data.loc[::3, "x3"] = np.nan
+    data["x4"] = np.nan
+    rows = spark.createDataFrame(data.astype(object).where(data.notna(), None).astype(object), ", ".join(f"x{i} double" for i in range(12))).repartition(5)
+    got = {(r.coluna_a, r.coluna_b): r.r for r in M.correlation_matrix(rows, data.columns).collect()}
+    want = data.corr()
+    assert len(got) == 144
+    for (a, b), r in got.items():
+        if "x2" in (a, b) or "x4" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-6)
+
+
+def test_only_the_latest_snapshot_is_opened(spark, tmp_path):
+    from terrametro.sources import readers as R
+
+    for day, text in (("20240101", "not json at all"), ("20240301", '[{"lat": -5.0, "lon": -42.0}]'), ("20240201", "[")):
+        (tmp_path / f"pois_{day}.json").write_text(text)
+    out = R.read_latest_snapshot(spark, str(tmp_path / "pois_*"), "lat double, lon double")
+    assert [tuple(r) for r in out.collect()] == [(-5.0, -42.0)]
+    assert [f.rsplit("/", 1)[1] for f in out.inputFiles()] == ["pois_20240301.json"]
+    with pytest.raises(Exception):
+        R.read_latest_snapshot(spark, str(tmp_path / "none_*"), "lat double")
