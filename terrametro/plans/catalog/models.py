@@ -82,7 +82,7 @@ def _(spark, sf):
 @query("compare_regressors", "M8 A10")
 def _(spark, sf):
     train, test = _split(spark, sf)
-    return T.compare_models(train, test, NUMERIC, CATEGORICAL, T.candidate_models())
+    return T.compare_models(train, test, NUMERIC, CATEGORICAL, T.candidate_models(train=train))
 
 
 @query("train_by_segment", "M9 F8 M6")
