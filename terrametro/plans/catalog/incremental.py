@@ -58,3 +58,48 @@ def _(spark, sf):
     writer = fresh.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint")
     _finished(writer.trigger(availableNow=True).start())
     return spark.read.parquet(f"{base}/table")
+
+
+#: Deliveries that arrive one after the other, each taken up by a run of its own from the same checkpoint.
+DELIVERIES = 8
+
+
+def _deliver(spark, sf, name, run, rows=lambda df, i: df):
+    """run(stream) after each delivery: the events whose id leaves this remainder."""
+    base = scratch_path(spark, name)
+    events = table(spark, sf, "events").withColumn("url", F.expr(_URL))
+    for i in range(DELIVERIES):
+        part = rows(events.where(F.col("event_id") % DELIVERIES == i), i)
+        part.write.parquet(f"{base}/in/entrega={i}")
+        _finished(run(I.read_arrivals(spark, f"{base}/in/entrega=*", part.schema), base))
+    return base
+
+
+@query("stream_merge_over_deliveries", "T1 S9",
+       f"""SELECT url, event_id, value FROM (SELECT {_URL} AS url, event_id, value,
+       row_number() OVER (PARTITION BY {_URL} ORDER BY event_id % {DELIVERIES} DESC, ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def _(spark, sf):
+    """The same URLs arrive in several deliveries; each is merged into the buckets it touches."""
+    base = _deliver(spark, sf, "deliveries", lambda stream, base: I.merge_arrivals(stream, f"{base}/store", f"{base}/checkpoint", "url", ["ts", "event_id"], 16))
+    return I.read_store(spark, f"{base}/store").select("url", "event_id", "value")
+
+
+@query("stream_dedup_after_eviction", "T2",
+       f"""WITH a AS (SELECT DISTINCT {_URL} AS url, event_id % {DELIVERIES} AS d FROM events WHERE user_id % 3 <> 0 OR event_id % {DELIVERIES} IN (0, 4)),
+       f AS (SELECT url, min(d) AS m FROM a GROUP BY 1)
+       SELECT url, m AS entrega FROM f UNION ALL SELECT url, min(d) FROM a JOIN f USING (url) WHERE d >= m + 4 GROUP BY 1""")
+def _(spark, sf):
+    """Deliveries are ten days apart and the horizon has twelve: what was seen four deliveries ago is forgotten,
+    and comes through again; what was seen later is still known."""
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+
+    def dated(df, i):
+        kept = df.where(f"user_id % 3 <> 0 OR {i} IN (0, 4)")
+        return kept.select("url", (start + F.expr(f"INTERVAL {10 * i} DAYS")).alias("at"), F.lit(i).cast("bigint").alias("entrega"))
+
+    def run(stream, base):
+        first = I.dedup_arrivals(stream, "url", "at", "12 days").select("url", "entrega")
+        writer = first.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint")
+        return writer.outputMode("append").trigger(availableNow=True).start()
+
+    return spark.read.parquet(f"{_deliver(spark, sf, 'eviction', run, dated)}/table")
