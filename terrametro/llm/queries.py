@@ -93,15 +93,15 @@ def op10(spark, sf):
 
 
 @_query("op2_chat_rotation", r"""
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn // 512, 0) AS part, turn, coalesce(role, 'unknown') AS role,
-    replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') || '<|im_end|>' AS body FROM conversations),
+WITH d AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') AS said FROM conversations),
+t AS (SELECT conv_id, turn, role, said, said || '<|im_end|>' AS body, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) - 1) // 512 AS part FROM d),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-r AS (SELECT t.conv_id, speaker, part, turn, role, body, role = speaker AS own, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+r AS (SELECT t.conv_id, speaker, part, turn, role, said, body, role = speaker AS own, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
     ELSE 'user name=' || regexp_replace(role, '\s+', '_', 'g') END || chr(10) AS head FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
 SELECT conv_id, speaker, CAST(part AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
-  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS text,
-  coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || '-' || CAST(pos + length(head) + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, body) FILTER (WHERE own), '') AS mask
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, said) AS text,
+  coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || '-' || CAST(pos + length(head) + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, said) FILTER (WHERE own), '') AS mask
 FROM o GROUP BY conv_id, speaker, part""")
 def op2(spark, sf):
     return chat.rotate(table(spark, sf, "conversations"))

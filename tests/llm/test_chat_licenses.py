@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from terrametro.llm import chat, licenses
 
 
@@ -6,17 +8,35 @@ def test_rotation(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann lee", "Hé"), (1, 2, "bob", "x<|im_end|>"), (1, 2, "bob", "x<|im_end|>"), (1, 3, None, None), (None, None, "bob", "z"), (2, 600, "bob", "late"), (2, 1, "ann", "a")]
     table = spark.createDataFrame([(*r, 9, "q") for r in rows], schema)
     got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(table).collect()}
-    assert set(got) == {(1, "ann lee", 0), (1, "bob", 0), (1, "unknown", 0), (None, "bob", 0), (2, "ann", 0), (2, "ann", 1), (2, "bob", 0), (2, "bob", 1)}
+    assert set(got) == {(1, "ann lee", 0), (1, "bob", 0), (1, "unknown", 0), (None, "bob", 0), (2, "ann", 0), (2, "bob", 0)}
     ann = got[1, "ann lee", 0]
     assert ann.text == ("<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHé<|im_end|>\n<|im_start|>user name=bob\nx<\\|im_end|\\><|im_end|>\n"
                         "<|im_start|>user name=unknown\n<|im_end|>\n")
     for r in got.values():
         spans = [tuple(map(int, s.split("-"))) for s in r["mask"].split(",") if s]
         assert len(spans) == r.n_own and all(r.text[:a].endswith("<|im_start|>assistant\n") and r.text[a:b].endswith("<|im_end|>") for a, b in spans)
-    assert (got[2, "bob", 0].n_own, got[2, "bob", 1].n_own, ann.n_turns) == (0, 1, 4)
+    assert (got[2, "bob", 0].n_own, got[2, "bob", 0].n_turns, ann.n_turns) == (1, 2, 4)
+    halves = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(table, part=1).collect()}
+    assert {k: r.n_own for k, r in halves.items() if k[0] == 2} == {(2, "ann", 0): 1, (2, "ann", 1): 0, (2, "bob", 0): 0, (2, "bob", 1): 1}
+    for k, r in got.items():
+        assert r.text == "".join(halves[*k[:2], n].text for n in range(r.n_turns))
     assert chat.rotate(table.limit(0)).count() == 0
 
 
+def test_parts_of_rows_without_numbers_are_bounded(spark):
+    """A third of the rows each without a conversation, of one turn number, and in order."""
+    n = 60_000
+    rows = spark.range(3 * n).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 3 END AS conv_id", f"CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id % {n} END AS turn",
+        "IF(id % 2 = 0, 'ann', 'bob') AS role", "lpad(id, 7, '0') AS text")
+    parts = chat.rotate(rows).select("conv_id", "speaker", "part", "n_turns", "n_own", F.regexp_extract_all("text", F.lit(r"\n(\d{7})<")).alias("ids")).collect()
+    assert max(r.n_turns for r in parts) == chat.PART and len(parts) == 3 * 2 * -(-n // chat.PART)
+    for conv, order in ((None, lambda i: (i % 2, i)), (1, lambda i: (i % 2, i)), (2, lambda i: (i % n, i % 2, i))):
+        lines = sorted((r for r in parts if r.conv_id == conv and r.speaker == "ann"), key=lambda r: r.part)
+        assert [int(i) for r in lines for i in r.ids] == sorted(range(conv or 0, 3 * n, 3), key=order)
+    assert sum(r.n_own for r in parts) == 3 * n
+
+
 def test_licences_and_inheritance(spark):
     rows = [("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), ("a/b/c/x.py", "print(1)"), ("a/b/COPYING", "nothing useful"),
             ("a/b/y.py", "words here.\nLicensed under the Apache License, Version 2.0. More"), ("LICENSE.txt", "released under the mit license!"), ("z/q.txt", None), ("ab/q.txt", ""), ("q.txt", "a license for nothing much at all said"),
