@@ -16,8 +16,6 @@ from ..sources.staging import staged
 
 #: Characters of benchmark text whose windows are broadcast at once; a larger benchmark takes several passes.
 BLOCK_CHARS = 8_000_000
-#: Rarest words of a window that must stand near their places for a proximity match.
-NEAR_WORDS = 3
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -30,7 +28,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Windows:
     """The windows of some benchmark items over a common dictionary of words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], length: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], length: int):
         self.terms: dict[bytes, int] = {}
         self.items: list[str] = []
         found: dict[tuple, set[int]] = {}
@@ -39,10 +37,13 @@ class Windows:
             if not words:
                 continue
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
-            self.items.append(item)
+            # Windows without an id hit words, but are nobody's.
+            owner = set() if item is None else {len(self.items)}
+            if item is not None:
+                self.items.append(item)
             span = min(length, len(ids))
             for at in range(len(ids) - span + 1):
-                found.setdefault(tuple(ids[at : at + span]), set()).add(len(self.items) - 1)
+                found.setdefault(tuple(ids[at : at + span]), set()).update(owner)
         self.keys = list(found)
         self.owners = [sorted(v) for v in found.values()]
 
@@ -138,7 +139,7 @@ def _look_up(index: DataFrame, windows, spark: SparkSession, slop: int | None) -
                         hits.append((begin[:, None] + np.arange(len(key))).ravel())
                         found.update((r, o) for r in np.unique(begin >> 32).tolist() for o in owners[w])
                     if slop is not None:
-                        close = _intersect_near(lists, key, offsets[:NEAR_WORDS], slop)
+                        close = _intersect_near(lists, key, offsets, slop)
                         near.update((r, o) for r in np.unique(close >> 32).tolist() for o in owners[w])
             yield _merge(batch, hits, found, near, items)
 
@@ -197,14 +198,15 @@ def benchmark_hits(
     items (ids, as sorted text, with such a window), near (ids with a proximity match).
 
     A window is `window` consecutive words of an item, or all of a shorter item's words.
-    slop: if given, near lists the items with a window whose rarest words all stand within slop
-    words of their places; an exact match is one too. Positions count from 0.
+    slop: if given, near lists the items with a window whose words all stand within slop words of
+    their places, as seen from its rarest word; an exact match is one too. Positions count from 0.
+    Items without an id count in hits, but are listed nowhere.
 
     Missing and empty texts have no words, so no hits; an item without words occurs nowhere.
     Rows that repeat an id are answered each. Tables may be empty; other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
+    parts = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("body")).where("body IS NOT NULL").distinct()
     chars = parts.agg(F.sum(F.length("body"))).first()[0] or 0
     passes = max(1, -(-chars // BLOCK_CHARS))
     none = F.array().cast("array<string>")

@@ -18,7 +18,7 @@ def brute(text, items, window=10):
             for s in range(len(words) - span + 1):
                 if words[s : s + span] == w[i : i + span]:
                     hit |= set(range(s, s + span))
-                    found.add(item)
+                    found |= {item} - {None}
     return sorted(hit), sorted(found)
 
 
@@ -28,9 +28,9 @@ def test_hits_equal_brute_force(spark, monkeypatch, block):
     rnd = random.Random(3)
     vocabulary = ["the", "of", "Rare", "wörd", "x1", "a"]
     phrase = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
-    items = [(str(i), phrase(n)) for i, n in enumerate((1, 3, 10, 14, 30, 12))] + [("9", None), ("10", ""), ("11", "of"), ("11", "of")]
+    items = [(str(i), phrase(n)) for i, n in enumerate((1, 3, 10, 14, 30, 12))] + [("9", None), ("10", ""), ("11", "of"), ("11", "of"), (None, "x1 wörd a"), (None, phrase(12))]
     docs = [(i, phrase(rnd.randint(0, 60)) + " -- " + rnd.choice(items[:6])[1].upper().replace("Ö", "ö"), "c") for i in range(40)]
-    docs += [(None, items[3][1], "c"), (50, None, "c"), (51, "", "c"), (1, docs[1][1], "c")]
+    docs += [(60, items[-1][1], "c"), (None, items[3][1], "c"), (50, None, "c"), (51, "", "c"), (1, docs[1][1], "c")]
     got = decontam.benchmark_hits(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id string, text string"), slop=2).collect()
     assert sorted([(str(r.doc_id), r.hits, r.items) for r in got]) == sorted([(str(i), *brute(t, items)) for i, t, _ in docs])
     assert all(set(r["items"]) <= set(r.near) for r in got)
@@ -43,6 +43,10 @@ def test_proximity_tolerates_shifts(spark):
     items = spark.createDataFrame([(5, "alpha one beta three four gamma five six seven eight")], "item_id int, text string")
     row = decontam.benchmark_hits(docs, items, slop=2).first()
     assert (row["items"], row.near) == ([], ["5"])
+    rows = [(1, "alpha one far far far beta", ""), (2, "alpha one", ""), (3, "alpha gap beta one", ""), (4, "one alpha beta", "")]
+    items = spark.createDataFrame([(6, "alpha one beta")], "item_id int, text string")
+    near = {r.doc_id: r.near for r in decontam.benchmark_hits(spark.createDataFrame(rows, DOCS), items, slop=2).collect()}
+    assert near == {1: [], 2: [], 3: ["6"], 4: ["6"]}
 
 
 def test_toxicity_learns_stems_and_handles_edges(spark):
