@@ -130,13 +130,26 @@ def page_count(html: Column) -> Column:
 def page_payload(html: Column) -> Column:
     """JSON text of the page's data script, else of the global assignment; `{}` when
     neither can be parsed."""
+    return F.coalesce(*[F.when(_parses(text), text) for text in _payload_texts(html)], F.lit("{}"))
+
+
+def page_payload_status(html: Column) -> Column:
+    """"parsed" where `page_payload` finds a payload, "broken" where a page has a data script or assignment with
+    text but none that parses (cut off, no JSON, or nested deeper than the parser goes), else "none"."""
+    texts = _payload_texts(html)
+    parsed = F.coalesce(_parses(texts[0]), F.lit(False)) | F.coalesce(_parses(texts[1]), F.lit(False))
+    given = F.coalesce(F.trim(texts[0]) != "", F.lit(False)) | F.coalesce(F.trim(texts[1]) != "", F.lit(False))
+    return F.when(parsed, "parsed").when(given, "broken").otherwise("none")
+
+
+def _payload_texts(html: Column) -> list[Column]:
     script = F.regexp_extract(html, r"(?is)<script\b[^>]*\bid\s*=\s*[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script\s*>", 1)
     assigned = F.regexp_extract(html, r"(?is)window\.__NUXT__=(.*?);?\s*</script\s*>", 1)
+    return [script, assigned]
 
-    def valid(text):
-        return F.when(F.is_variant_null(F.try_parse_json(text)).isNotNull() & (F.trim(text) != ""), text)
 
-    return F.coalesce(valid(script), valid(assigned), F.lit("{}"))
+def _parses(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull() & (F.trim(text) != "")
 
 
 def _objects(tree):

@@ -200,6 +200,18 @@ def test_ads_of_a_page_have_no_cap_and_no_depth_limit(spark):
     assert sum(1 for _ in X._objects(deep)) == 10_001
 
 
+def test_pages_whose_payload_does_not_parse_are_told(spark):
+    script, assigned = '<script id="__NEXT_DATA__">%s</script>', "<script>window.__NUXT__=%s;</script>"
+    pages = {
+        1: (script % '{"a":1}', "parsed"), 2: (script % '{"a":', "broken"), 3: (script % '{"a":' + assigned % '{"b":2}', "parsed"), 4: ("<p>x</p>", "none"), 5: (script % "  ", "none"),
+        6: (None, "none"), 7: ("", "none"), 8: (assigned % "function(){}", "broken"), 9: (script % ('{"x":' * 10_000 + "1" + "}" * 10_000), "broken"), 10: (script % "null", "parsed"),
+    }
+    rows = spark.createDataFrame([(k, html) for k, (html, _) in pages.items()], "k int, html string")
+    got = {r.k: (r.status, r.payload) for r in rows.select("k", X.page_payload_status(F.col("html")).alias("status"), X.page_payload(F.col("html")).alias("payload")).collect()}
+    assert {k: status for k, (status, _) in got.items()} == {k: status for k, (_, status) in pages.items()}
+    assert all(status == "parsed" or payload == "{}" for status, payload in got.values())
+
+
 def test_no_local_folder_on_a_cluster():
     from types import SimpleNamespace
 

@@ -18,7 +18,7 @@ FEW = [
     "title_case_documents", "split_address", "pois_within_radii", "poi_features_with_split_cells", "census_features_by_position",
     "geocode_address_ladder", "resolve_coordinates", "metrics_by_price_band", "error_distribution", "data_dictionary",
     "composite_model_rank", "upsert_by_url", "csv_round_trip", "one_hot_vectors", "assemble_request_features",
-    "score_flat_node_table", "score_requests", "prepare_enriched_training_set", "visible_page_text", "listings_from_page_payloads", "merge_cards_with_details",
+    "score_flat_node_table", "score_requests", "prepare_enriched_training_set", "visible_page_text", "listings_from_page_payloads", "page_payload_status", "merge_cards_with_details",
     "stream_upsert_by_url", "stream_dedup_within_watermark",
 ]
 ALL = os.environ.get("TERRAMETRO_ALL_QUERIES") == "1"
