@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrametro import constants as K
 from terrametro.functions import geo as G, numbers as N, text as T
-from terrametro.operators import cleaning as C, dedup as D, enrich as E, extract as X, features as FT, scoring as P, spatial as S
+from terrametro.operators import celltree, cleaning as C, dedup as D, enrich as E, extract as X, features as FT, scoring as P, spatial as S
 from terrametro.operators.quantiles import exact_quantiles
 from terrametro.operators.ranks import with_average_rank
 from terrametro.sources import readers as R, sinks as W
@@ -80,6 +80,16 @@ def test_poi_features_match_brute_force(spark, places, leaf):
     assert got.filter(like="poi_").iloc[300].isna().all()
 
 
+def test_crowded_cells_are_cut_on_both_sides(spark):
+    """Many listings in one small place and as many points in another: settled by weights, hardly compared."""
+    listings = spark.range(20_000).select((F.col("id") % 200 * 1e-2).alias("qx"), (F.col("id") / 200).cast("int").cast("double").alias("qy"))
+    points = listings.select(F.lit("bancos").alias("category"), (F.col("qx") + 300).alias("px"), F.col("qy").alias("py"))
+    rows = celltree.position_features(listings, points, (500,), nearest=False).groupBy("qx", "qy").agg(F.sum("n500").alias("n"))
+    assert rows.agg(F.count("*"), F.min("n"), F.max("n")).first()[:] == (20_000, 20_000, 20_000)
+    empty = celltree.position_features(listings.limit(0), points.limit(0), (500,))
+    assert empty.count() == 0 and empty.columns == ["qx", "qy", "category", "dist", "n500"]
+
+
 def test_far_points_are_found(spark):
     df = spark.createDataFrame([(0, -5.0, -42.0)], "id int, Latitude double, Longitude double")
     pois = spark.createDataFrame([("bancos", 40.0, 100.0), ("bancos", -6.0, -40.0)], "categoria string, lat double, lon double")

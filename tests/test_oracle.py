@@ -15,7 +15,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FEW = [
     "keep_first_with_missing_urls", "price_within_iqr_fences", "impute_by_neighbourhood_mean", "prepare_training_set",
-    "title_case_documents", "split_address", "pois_within_radii", "poi_features_with_split_cells", "census_features_by_position",
+    "title_case_documents", "split_address", "nearest_poi_per_category", "pois_within_radii", "poi_features_with_split_cells", "census_features_by_position",
     "geocode_address_ladder", "resolve_coordinates", "metrics_by_price_band", "error_distribution", "data_dictionary",
     "composite_model_rank", "upsert_by_url", "csv_round_trip", "one_hot_vectors", "assemble_request_features",
     "score_flat_node_table", "score_requests", "prepare_enriched_training_set", "visible_page_text", "listings_from_page_payloads", "page_payload_status", "merge_cards_with_details",
