@@ -2,8 +2,8 @@
 
 The text of a file, lines joined and comment marks removed, is compared with whole headers and
 licence texts wherever it shares a pair of licence words with one, over the template's length,
-by the cosine of sparse TF-IDF vectors. An SPDX line names its licence. A statement is a sentence
-or line that speaks of a licence, compared with one-line templates. A file has the licence of
+by the cosine of sparse TF-IDF vectors. An SPDX line gives its whole expression. A statement is a sentence
+or line that speaks of a licence and does not deny it, compared with one-line templates. A file has the licence of
 its best header, without one of its best statement. A file
 without one takes that of the licence file in the nearest directory above it.
 """
@@ -27,10 +27,15 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
     ("GPL-2.0", "Licensed under the GNU General Public License, version 2"),
+    ("GPL-1.0-or-later", "Licensed under the GNU General Public License"),
     ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("Zlib", "Released under the zlib License"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -54,6 +59,15 @@ _AS_IS = (
     "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY"
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of "
+    "source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
 # Whole headers; short licences whole, of the long ones the beginning, which names licence and version.
 HEADERS = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
@@ -75,10 +89,17 @@ HEADERS = [
     ("LGPL-2.1", _GNU_TEXT.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", "1991, 1999")),
     ("LGPL-3.0", _GNU_TEXT.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", "2007")),
     ("AGPL-3.0", _GNU_TEXT.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", "2007")),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of "
-     "source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
-     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the "
-     "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+     "without specific prior written permission. " + _BSD_AS_IS),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license "
+     "(the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+     "Software is furnished to do so, all subject to the following"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+     "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+     "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+     "https://www.eclipse.org/legal/epl-2.0/"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
      "You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
@@ -89,7 +110,12 @@ HEADERS = [
 ]
 #: Comment marks at the two ends of a line.
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|\.\.|\"{3}|'{3}|dnl\b|rem\b)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
-SPDX = r"(?i)spdx-licen[cs]e-identifier:[ \t]*\(?([a-z0-9.+-]+)"
+_ID = r"[a-z0-9][a-z0-9.+-]*"
+SPDX = rf"(?i)spdx-licen[cs]e-identifier:[ \t]*((?:\([ \t]*)*{_ID}(?:[ \t]*\))*(?:[ \t]+(?:and|or|with)[ \t]+(?:\([ \t]*)*{_ID}(?:[ \t]*\))*)*)"
+#: Identifiers without a digit or hyphen; others need one of these to be taken as an identifier.
+PLAIN_IDS = ["MIT", "ISC", "Zlib", "Unlicense", "X11", "curl", "Ruby", "Vim", "PostgreSQL", "OpenSSL", "Libpng", "NCSA", "Beerware", "WTFPL"]
+#: A statement that denies a licence.
+DENIED = r"(?i)(^|[^a-z0-9_])(not|never|no longer|isn't|aren't)[ \t]+([a-z]+[ \t]+)?(licen[cs]ed|released|distributed|available|covered|published|offered|provided|under)([^a-z0-9_]|$)"
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|permission (is|to)|redistribution|public domain|rights reserved|free software"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)?"
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([.-].*)?$"
@@ -119,23 +145,46 @@ def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[D
 
 
 def statements(text):
-    """Lines and sentences of a text that speak of a licence."""
+    """Lines and sentences of a text that speak of a licence and do not deny it."""
     parts = F.split(F.regexp_replace(text, r"([.;!?])\s+", "$1\n"), "\n")
-    return F.when(text.rlike(TRIGGER), F.filter(parts, lambda s: s.rlike(TRIGGER)))
+    return F.when(text.rlike(TRIGGER), F.filter(parts, lambda s: s.rlike(TRIGGER) & ~s.rlike(DENIED)))
+
+
+def spdx_licence(expression):
+    """An SPDX expression with names in their usual case, versions without suffixes; NULL if a name cannot be an identifier."""
+    found = F.regexp_replace(expression, r"[.-]+$", "")
+    found = F.regexp_replace(found, r"(?i)(-only|-or-later|\+)(?=[ \t)]|$)", "")
+    found = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(found, r"[ \t]+", " "), r"\( ", "("), r" \)", ")"))
+    found = F.regexp_replace(found, r"^\(([^()]*)\)?$", "$1")
+    for name in ["AND", "OR", "WITH", *sorted({licence for licence, _ in TEMPLATES + HEADERS} | set(PLAIN_IDS))]:
+        found = F.regexp_replace(found, rf"(?i)(?<![\w.+-]){re.escape(name)}(?![\w.+-])", name)
+    names = F.filter(F.split(F.regexp_replace(found, r"[()]", ""), " "), lambda n: ~n.isin("AND", "OR", "WITH"))
+    likely = F.forall(names, lambda n: n.isin(PLAIN_IDS) | n.rlike("[0-9-]"))
+    balanced = F.length(F.regexp_replace(found, r"[^(]", "")) == F.length(F.regexp_replace(found, r"[^)]", ""))
+    return F.when(likely & balanced, found)
+
+
+def read_once(rows: DataFrame) -> DataFrame:
+    """rows(path, body) -> path, statements, spdx expressions, and the words of texts that speak of a licence: all that is needed of a text."""
+    speaks = F.col("body").rlike(TRIGGER)
+    plain = F.lower(F.regexp_replace("body", MARKS, ""))
+    return rows.select(
+        "path", F.array_distinct(statements(F.col("body"))).alias("statements"),
+        F.when(speaks, F.regexp_extract_all("body", F.lit(SPDX), 1)).alias("spdx"),
+        F.when(speaks, F.regexp_extract_all(plain, F.lit(TERM), 0)).alias("words"))
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """rows(path, body) -> distinct (path, statement): the text over a header's length, laid so that a pair of licence words meets that of the header."""
+    """read_once rows -> distinct (path, statement): the text over a header's length, laid so that a pair of licence words meets that of the header."""
     laid = {}
     for _, text in HEADERS:
         bag = re.findall(TERM, text.lower())
         for k, pair in enumerate(zip(bag, bag[1:])):
-            if re.search(r"licen[cs]e|permission|redistribut|unencumbered|source code", " ".join(pair)):
+            if re.search(r"licen[cs]e|permission|redistribut|unencumbered|source code|accompanying materials", " ".join(pair)):
                 laid.setdefault(" ".join(pair), set()).add((k, len(bag)))
     values = ", ".join(f"('{pair}', {k}, {n})" for pair, places in sorted(laid.items()) for k, n in sorted(places))
     places = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(pair, before, length)")
-    plain = F.lower(F.regexp_replace("body", MARKS, ""))
-    words = rows.where(F.col("body").rlike(TRIGGER)).select("path", F.regexp_extract_all(plain, F.lit(TERM), 0).alias("words")).where(F.size("words") > 1)
+    words = rows.select("path", "words").where("words IS NOT NULL AND size(words) > 1")
     pair = lambda k: F.concat_ws(" ", F.get("words", k), F.get("words", k + 1))
     met = F.filter(F.sequence(F.lit(0), F.size("words") - 2), lambda k: pair(k).isin(*laid))
     met = words.select("path", "words", F.explode(met).alias("at")).select("path", "words", "at", pair(F.col("at")).alias("pair"))
@@ -169,14 +218,14 @@ def file_licences(files: DataFrame, path_column: str = "path", text_column: str
     have no statements; rows without a path are left out, as they are in no directory. An empty
     table gives no rows; other columns are ignored.
     """
-    rows = files.select(F.col(path_column).alias("path"), F.col(text_column).alias("body")).where("path IS NOT NULL")
-    said = rows.select("path", F.explode(F.array_distinct(statements(F.col("body")))).alias("statement"))
+    rows = staged(read_once(files.select(F.col(path_column).alias("path"), F.col(text_column).alias("body")).where("path IS NOT NULL")), "licences")
+    said = rows.select("path", F.explode("statements").alias("statement"))
     said = said.groupBy("path", "statement").agg(F.lit(1).alias("one")).drop("one")
     matched = match_statements(said.groupBy("statement").agg(F.lit(1).alias("one")).drop("one"))
     laid = staged(windows(rows), "windows")
     whole = laid.join(match_statements(laid.select("statement").distinct(), HEADERS, LEAST_HEADER), "statement")
-    named = rows.select("path", F.explode(F.regexp_extract_all("body", F.lit(SPDX), 1)).alias("licence"))
-    named = named.select("path", F.regexp_replace("licence", r"(?i)(-only|-or-later|\+)?\.*$", "").alias("licence"), F.lit(1.0).alias("score"))
+    named = rows.select("path", F.explode("spdx").alias("given")).select("path", spdx_licence(F.col("given")).alias("licence"), F.lit(1.0).alias("score"))
+    named = named.where("licence IS NOT NULL")
     kinds = [(named, 0), (whole, 0), (said.join(matched, "statement"), 1)]
     every = reduce(DataFrame.union, [t.select("path", F.struct(F.lit(k).alias("kind"), (-F.col("score")).alias("s"), "licence").alias("best")) for t, k in kinds])
     own = every.groupBy("path").agg(F.min("best").alias("best"))

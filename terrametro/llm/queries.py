@@ -121,6 +121,7 @@ def op2(spark, sf):
 _TEMPLATE_ROWS, _OTHER_IDF = licenses.weights()
 _TEMPLATE_SQL = ", ".join(f"({k}, '{licence}', '{term}', {idf!r}, {weight!r})" for k, licence, term, idf, weight in _TEMPLATE_ROWS)
 _TRIGGER_SQL = licenses.TRIGGER.removeprefix("(?i)")
+_DENIED_SQL = licenses.DENIED.removeprefix("(?i)").replace("'", "''")
 
 
 @_query("op4_license_scan", rf"""
@@ -128,7 +129,7 @@ WITH tpl(template, licence, term, idf, weight) AS (VALUES {_TEMPLATE_SQL}),
 files AS (SELECT CASE WHEN length(coalesce(text, '')) < 400 THEN concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), 'LICENSE-' || doc_id)
     ELSE concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), doc_id // 64, 'doc_' || doc_id || '.txt') END AS path, text FROM documents WHERE doc_id IS NOT NULL),
 said AS (SELECT DISTINCT path, statement FROM (SELECT path, unnest(string_split(regexp_replace(text, '([.;!?])\s+', '' || chr(10), 'g'), chr(10))) AS statement FROM files)
-    WHERE regexp_matches(statement, '{_TRIGGER_SQL}', 'i')),
+    WHERE regexp_matches(statement, '{_TRIGGER_SQL}', 'i') AND NOT regexp_matches(statement, '{_DENIED_SQL}', 'i')),
 terms AS (SELECT statement, term, count(*) AS tf FROM (SELECT statement, unnest(regexp_extract_all(lower(statement), '{licenses.TERM}')) AS term FROM (SELECT DISTINCT statement FROM said)) GROUP BY 1, 2),
 valued AS (SELECT statement, term, tf * coalesce(idf, {_OTHER_IDF!r}) AS value FROM terms LEFT JOIN (SELECT DISTINCT term, idf FROM tpl) USING (term)),
 norms AS (SELECT statement, sqrt(sum(value * value)) AS norm FROM valued GROUP BY 1),

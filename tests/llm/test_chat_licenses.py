@@ -74,3 +74,19 @@ import os
     got = {r.path: (r.licence, r.how) for r in licenses.file_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"m/a.c": ("MPL-2.0", "own"), "m/b.py": ("LGPL-2.1", "own"), "m/c.py": ("GPL-2.0", "own"), "m/d.py": ("AGPL-3.0", "own"), "m/e.py": ("GPL-3.0", "own"),
                    "m/f.py": ("MIT", "own"), "n/COPYING": ("MPL-2.0", "own"), "n/o/p.c": ("MPL-2.0", "inherited")}
+
+
+def test_neighbours_denials_and_expressions(spark):
+    two = licenses._BSD.replace("1. ", "\n * 1. ").replace("2. ", "\n * 2. ")
+    end = licenses._BSD_AS_IS + " IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+    third = "3. Neither the name of Acme Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    texts = dict(licenses.HEADERS)
+    rows = [("two", "Copyright (c) 2020 A. Person. All rights reserved.\n" + two + end, "BSD-2-Clause"), ("three", "Copyright 2020 Acme\n" + two + third + end, "BSD-3-Clause"),
+            ("boost", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + texts["BSL-1.0"] + ":", "BSL-1.0"), ("zlib", "(C) 2001 J. Doe\n" + texts["Zlib"], "Zlib"),
+            ("mit", "MIT License\n\nCopyright (c) 2020 A. Person\n" + texts["MIT"], "MIT"), ("epl", "/* " + texts["EPL-2.0"] + " */", "EPL-2.0"),
+            ("denied", "This is NOT released under the MIT License", None), ("gnu", "Licensed under the GNU General Public License.", "GPL-1.0-or-later"),
+            ("gnu2", "Licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("either", "# SPDX-License-Identifier: (Apache-2.0 OR MIT)", "Apache-2.0 OR MIT"),
+            ("lower", "// SPDX-License-Identifier: mit", "MIT"), ("unknown", "SPDX-License-Identifier: unknown thing", None),
+            ("both", "/* SPDX-License-Identifier: (mit or apache-2.0) and GPL-2.0-only WITH Classpath-exception-2.0 */", "(MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0")]
+    got = {r.path: r.licence for r in licenses.file_licences(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert got == {path: licence for path, _, licence in rows}
