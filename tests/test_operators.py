@@ -320,3 +320,25 @@ def test_only_the_latest_snapshot_is_opened(spark, tmp_path):
     assert [f.rsplit("/", 1)[1] for f in out.inputFiles()] == ["pois_20240301.json"]
     with pytest.raises(Exception):
         R.read_latest_snapshot(spark, str(tmp_path / "none_*"), "lat double")
+
+
+def test_large_ensembles_are_scored_without_coming_to_the_driver(spark, monkeypatch):
+    rows = []
+    for t in range(40):
+        b = t * 3
+        rows += [(t, b, b + 1, b + 2, t % 2, 0.1 * t, 0.0, 0.5), (t, b + 1, -1, -1, -1, 0.0, 1.0 + t, 0.5), (t, b + 2, -1, -1, -1, 0.0, -1.0, 0.5)]
+    schema = "tree int, node int, left int, right int, feature int, threshold double, value double, weight double"
+    nodes = spark.createDataFrame(rows, schema)
+    x = spark.createDataFrame([(i, i / 7, None if i % 5 == 0 else float(i % 3)) for i in range(30)] * 2, "id int, f double, g double")
+    whole = P.score_node_table(x, nodes, ["f", "g"], 10.0, 0.5).orderBy("id").toPandas()
+    # Neither nodes nor a row per tree are collected: what is fetched does not grow with the ensemble.
+    monkeypatch.setattr(type(nodes), "toPandas", lambda self: pytest.fail("fetched"))
+    monkeypatch.setattr(type(nodes), "collect", lambda self: pytest.fail("fetched"))
+    monkeypatch.setattr(P, "BLOCK_VECTORS", 7)
+    apart = P.score_node_table(x, nodes, ["f", "g"], 10.0, 0.5, max_nodes=24)
+    monkeypatch.undo()
+    apart = apart.orderBy("id").toPandas()
+    assert len(apart) == 60 and np.allclose(whole["previsto"], apart["previsto"])
+    lost = nodes.withColumn("value", F.when(~((F.col("tree") == 3) & (F.col("node") == 10)), F.col("value")))
+    found = [P.score_node_table(x, lost, ["f", "g"], 10.0, 0.5, max_nodes=m).orderBy("id", "f").toPandas()["previsto"] for m in (1000, 24)]
+    assert found[0].isna().any() and not found[0].isna().all() and (found[0].isna() == found[1].isna()).all()
