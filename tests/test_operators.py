@@ -405,3 +405,18 @@ def test_listings_are_deduplicated_before_their_parts_join(spark, tmp_path):
     got = sorted(((r["URL_Anuncio"], r["Valor_Anuncio"], r["Quartos"]) for r in out.collect()), key=str)
     assert got == [("1-1", 24.0, 1), ("3-4", 36.0, 4), (None, 48.0, 4)]
     assert _plan(out).index("Join Inner") < _plan(out).index("Window [row_number()")  # read from the top: the part joins last
+
+
+def test_enrichment_meets_deduplicated_sales_only(spark):
+    columns = "URL_Anuncio string, Tipo_Negocio string, Valor_Anuncio double, Area_m2 double, Quartos int, Banheiros int, Vagas_Garagem int, Latitude double, Longitude double, Tipo_Imovel string, Bairro string, situacao string"
+    rest = (50.0, 2, 1, 1, -5.1, -42.8, "Casa", "Centro", "x")
+    rows = [("a", "Venda", 100.0, *rest), ("a", "Venda", 90.0, *rest), ("b", "Aluguel", 100.0, *rest), ("c", "Venda", 95.0, *rest)]
+    met = []
+
+    def enrich(sales):
+        met.append(sales)
+        return sales.withColumn("metros", F.col("Latitude") * -1000)
+
+    out = C.prepare_training_set(spark.createDataFrame(rows, columns), ["Valor_Anuncio"], extra=["metros"], enrich=enrich)
+    assert met[0].count() == 2 and not {"URL_Anuncio", "situacao"} & set(met[0].columns)
+    assert sorted((r["Valor_Anuncio"], r["metros"]) for r in out.collect()) == [(90.0, 5100.0), (95.0, 5100.0)]
