@@ -90,6 +90,27 @@ def test_crowded_cells_are_cut_on_both_sides(spark):
     assert empty.count() == 0 and empty.columns == ["qx", "qy", "category", "dist", "n500"]
 
 
+def test_a_position_is_answered_by_one_row(spark, monkeypatch):
+    """All categories together, also of cells with several blocks of positions and of points; copies of points count."""
+    rng = np.random.default_rng(5)
+    places, at = rng.random((300, 2)) * 3000, rng.random((120, 2)) * 3000
+    at[:20] = at[0]
+    kinds = np.where(np.arange(120) % 3 == 0, "bancos", "escolas")
+    queries = spark.createDataFrame(pd.DataFrame(places, columns=["qx", "qy"])).unionByName(spark.createDataFrame(pd.DataFrame(places[:50], columns=["qx", "qy"])))
+    points = spark.createDataFrame(pd.DataFrame({"category": [*kinds, "outros"], "px": [*at[:, 0], 1.0], "py": [*at[:, 1], 1.0]}))
+    d = np.hypot(places[:, None, 0] - at[:, 0], places[:, None, 1] - at[:, 1])
+    for block, leaf in ((4096, 4096), (7, 50_000), (7, 40)):
+        monkeypatch.setattr(celltree, "BLOCK", block)
+        got = celltree.position_table(queries, points, ["escolas", "bancos", "pracas"], (500, 2000), leaf=leaf).toPandas()
+        assert len(got) == 300
+        got = got.set_index(["qx", "qy"]).loc[[tuple(p) for p in places]]
+        for i, kind in enumerate(("escolas", "bancos")):
+            assert np.allclose(got[f"dist_{i}"], d[:, kinds == kind].min(axis=1))
+            for r in (500, 2000):
+                assert (got[f"n{r}_{i}"].to_numpy() == (d[:, kinds == kind] <= r).sum(axis=1)).all()
+        assert got["dist_2"].isna().all() and (got["n500_2"] == 0).all()
+
+
 def test_far_points_are_found(spark):
     df = spark.createDataFrame([(0, -5.0, -42.0)], "id int, Latitude double, Longitude double")
     pois = spark.createDataFrame([("bancos", 40.0, 100.0), ("bancos", -6.0, -40.0)], "categoria string, lat double, lon double")
