@@ -441,3 +441,15 @@ def test_enrichment_meets_deduplicated_sales_only(spark):
     out = C.prepare_training_set(spark.createDataFrame(rows, columns), ["Valor_Anuncio"], extra=["metros"], enrich=enrich)
     assert met[0].count() == 2 and not {"URL_Anuncio", "situacao"} & set(met[0].columns)
     assert sorted((r["Valor_Anuncio"], r["metros"]) for r in out.collect()) == [(90.0, 5100.0), (95.0, 5100.0)]
+
+
+def test_quartile_edges_are_taken_once(spark):
+    """The edges stand in the plan as numbers: no subquery runs the quantiles again for each place that names one."""
+    from terrametro.operators import metrics as M
+
+    df = spark.createDataFrame([(float(y), float(y + 1)) for y in range(1, 9)], "y double, p double")
+    board = M.metrics_by_quartile(df, "y", "p")
+    assert "scalar-subquery" not in board._jdf.queryExecution().analyzed().toString()
+    got = {r["faixa"]: (r["n"], r["min_valor"], r["max_valor"], r["medae"]) for r in board.collect()}
+    assert got == {"Q1 (0-25%)": (2, 1.0, 2.75, 1.0), "Q2 (25-50%)": (2, 2.75, 4.5, 1.0), "Q3 (50-75%)": (2, 4.5, 6.25, 1.0), "Q4 (75-100%)": (1, 6.25, 8.0, 1.0)}
+    assert M.metrics_by_quartile(df.where("y < 0"), "y", "p").count() == 0
