@@ -111,6 +111,28 @@ def test_a_position_is_answered_by_one_row(spark, monkeypatch):
         assert got["dist_2"].isna().all() and (got["n500_2"] == 0).all()
 
 
+
+def test_a_position_is_put_together_only_where_its_cell_meets_several_blocks(spark, monkeypatch):
+    """Answers of cells that meet one block of points are rows at once: no shuffle by position stands above the comparison."""
+    rng = np.random.default_rng(4)
+    queries = spark.createDataFrame(pd.DataFrame(rng.random((80, 2)) * 900, columns=["qx", "qy"]))
+    points = spark.createDataFrame(pd.DataFrame({"category": "escolas", "px": rng.random(60) * 900, "py": rng.random(60) * 900}))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    def above(df):
+        return plan(df).split("MapInArrow")[0]
+
+    once = celltree.position_table(queries, points, ["escolas"], (500,))
+    assert "Aggregate" not in above(once) and once.count() == 80
+    monkeypatch.setattr(celltree, "BLOCK", 7)
+    often = celltree.position_table(queries, points, ["escolas"], (500,))
+    assert "Aggregate" in above(often)
+    one, other = (d.orderBy("qx", "qy").toPandas() for d in (once, often))
+    assert len(other) == 80 and one.equals(other[one.columns])
+
+
 def test_far_points_are_found(spark):
     df = spark.createDataFrame([(0, -5.0, -42.0)], "id int, Latitude double, Longitude double")
     pois = spark.createDataFrame([("bancos", 40.0, 100.0), ("bancos", -6.0, -40.0)], "categoria string, lat double, lon double")
